@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 
@@ -122,5 +121,3 @@ def conversation_digest(examples: DataFrame) -> DataFrame:
         "n_examples",
     )
 
-
-TURN = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chunk_dedup
+from . import bpe_codec, chat, chunk_dedup, sharding, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,18 +17,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "<|im_end|><|im_start|>assistant ok"
-    more = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], chat.TURN)
+    role = F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant"))
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(own).alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     return chat.conversation_digest(chat.expand(turns))
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer file, the same on every machine of the cluster."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_token_counts_two_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op7_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_byte_bpe_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe_codec.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), keep_ids=False)
+    return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op9_sampled_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=24)
+
+
 QUERIES = {
     "op1_chat_prefix_targets": op1_chat_prefix_targets,
+    "op6_token_counts_two_tier": op6_token_counts_two_tier,
     "op7_chunk_recipe_dedup": op7_chunk_recipe_dedup,
+    "op8_byte_bpe_sentencepiece": op8_byte_bpe_sentencepiece,
+    "op9_sampled_splitter_shards": op9_sampled_splitter_shards,
 }
 
 SQL = {
