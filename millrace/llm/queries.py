@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat, chunk_dedup, sharding, token_counts
+from . import bpe_codec, chat, chunk_dedup, packing, quality, sharding, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_ngram_ratio_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.apply(docs, quality.fit(docs, table(spark, sf_dir, "labels"))).drop("score")
+
+
 def op6_token_counts_two_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -47,12 +52,18 @@ def op9_sampled_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op10_local_search_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=1024, end_id=2)
+
+
 QUERIES = {
     "op1_chat_prefix_targets": op1_chat_prefix_targets,
+    "op5_ngram_ratio_quality": op5_ngram_ratio_quality,
     "op6_token_counts_two_tier": op6_token_counts_two_tier,
     "op7_chunk_recipe_dedup": op7_chunk_recipe_dedup,
     "op8_byte_bpe_sentencepiece": op8_byte_bpe_sentencepiece,
     "op9_sampled_splitter_shards": op9_sampled_splitter_shards,
+    "op10_local_search_packing": op10_local_search_packing,
 }
 
 SQL = {
