@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat, chunk_dedup, minhash_join, packing, quality, sharding, token_counts
+from . import bpe_codec, chat, chunk_dedup, langid, minhash_join, packing, quality, sharding, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op3_minhash_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
 
 
+def op4_bigru_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
 def op5_ngram_ratio_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.apply(docs, quality.fit(docs, table(spark, sf_dir, "labels"))).drop("score")
@@ -63,6 +68,7 @@ def op10_local_search_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_prefix_targets": op1_chat_prefix_targets,
     "op3_minhash_hamming_join": op3_minhash_hamming_join,
+    "op4_bigru_language_id": op4_bigru_language_id,
     "op5_ngram_ratio_quality": op5_ngram_ratio_quality,
     "op6_token_counts_two_tier": op6_token_counts_two_tier,
     "op7_chunk_recipe_dedup": op7_chunk_recipe_dedup,
