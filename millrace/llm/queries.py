@@ -5,10 +5,12 @@ Each query derives its digest columns from what its operator returns.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat, chunk_dedup, langid, minhash_join, packing, quality, sharding, token_counts
+from . import bpe_codec, chat, chunk_dedup, html_extract, labelled_pages, langid, minhash_join, packing, quality, sharding, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +32,16 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@lru_cache(maxsize=1)
+def page_model() -> html_extract.Model:
+    """The extraction model; its labelled pages are the same at every size of the input."""
+    return html_extract.train(labelled_pages.labelled_pages())
+
+
+def op2_tree_model_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"), page_model())
+
+
 def op3_minhash_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
 
@@ -67,6 +79,7 @@ def op10_local_search_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_prefix_targets": op1_chat_prefix_targets,
+    "op2_tree_model_extraction": op2_tree_model_extraction,
     "op3_minhash_hamming_join": op3_minhash_hamming_join,
     "op4_bigru_language_id": op4_bigru_language_id,
     "op5_ngram_ratio_quality": op5_ngram_ratio_quality,
