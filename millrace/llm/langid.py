@@ -259,23 +259,38 @@ def predict(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
     held = spark.sparkContext.broadcast(net)
 
     def label(batches):
-        n = held.value
-        names = np.array([*n.languages, UNKNOWN], object)
         for b in batches:
-            data, offsets = flat(b.column(2))
-            letters = has_letters(data, offsets)
-            if n.languages:
-                p = pooled(n, data, offsets)
-                best, score = p.argmax(1), np.where(letters, p.max(1), 0.0)
-            else:
-                best, score = np.zeros(len(b), int), np.zeros(len(b))
-            best = np.where(letters & bool(n.languages), best, len(n.languages))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names[best], pa.string()), pa.array(np.clip(score, 0.0, 1.0))], names=["doc_id", "held_out", "lang_pred", "score"])
+            names, score = decide(held.value, b.column(2))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("t")).mapInArrow(label, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
+def decide(net: Network, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The language and the score of each text of a column."""
+    data, offsets = flat(texts)
+    known = has_letters(data, offsets) & bool(net.languages)
+    if not known.any():
+        return np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+    p = pooled(net, data, offsets)
+    names = np.where(known, np.array(net.languages, object)[p.argmax(1)], UNKNOWN)
+    return names, np.where(known, np.clip(p.max(1), 0.0, 1.0), 0.0)
+
+
+def accepted(docs: DataFrame, net: Network, text_col: str = "text", min_score: float = 0.35) -> DataFrame:
+    """The rows of ``docs``, all their columns, whose text has a language with at least ``min_score``."""
+    ship(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(net)
+
+    def keep(batches):
+        for b in batches:
+            names, score = decide(held.value, b.column(b.schema.get_field_index(text_col)))
+            yield b.filter(pa.array((names != UNKNOWN) & (score >= min_score)))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def has_letters(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Whether each row has a letter."""
     cp = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
