@@ -147,7 +147,7 @@ def delta_micros(c: Column) -> Column:
     """Microseconds of a day-time interval."""
     part = lambda f: F.extract(F.lit(f), c)
     days, hours, minutes, seconds = (part(f) for f in ("DAY", "HOUR", "MINUTE", "SECOND"))
-    return ((days * 24 + hours) * 60 + minutes) * F.lit(60 * 10**6) + F.round(seconds * F.lit(10**6)).cast("long")
+    return ((days.cast("long") * 24 + hours) * 60 + minutes) * F.lit(60 * 10**6) + F.round(seconds * F.lit(10**6)).cast("long")
 
 
 DELTA_PARTS = {

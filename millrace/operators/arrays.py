@@ -147,8 +147,8 @@ class LongArray:
                 places = [x % n for x in k]
                 size = len(places)
                 rows = rows.filter(c.isin(sorted(set(places))))
-                found = F.filter(F.array(*[F.struct(F.lit(x).alias("at"), F.lit(j).alias("to")) for j, x in enumerate(places)]), lambda s, c=c: s["at"] == c)
-                rows = rows.withColumn(f"p{a}", F.explode(F.transform(found, lambda s: s["to"])))
+                new = F.array(*[F.when(c == x, F.lit(j)) for j, x in enumerate(places)])
+                rows = rows.withColumn(f"p{a}", F.explode(F.array_compact(new)))
                 out.append(F.col(f"p{a}"))
             shape.append(size)
         return LongArray(rows.select(*[c.alias(f"i{j}") for j, c in enumerate(out)], "v"), shape)
