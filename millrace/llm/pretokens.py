@@ -117,7 +117,7 @@ class Encoder:
     of the code points.  The cache is emptied when it holds ``most`` pre-tokens.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], most: int = 1 << 20, counts_only: bool = False):
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], most: int = 1 << 19, counts_only: bool = False):
         self.encode, self.most, self.counts_only = encode, most, counts_only
         self.first: HashMap | None = None
         self.clear()

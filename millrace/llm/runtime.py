@@ -43,10 +43,17 @@ def settle(df: DataFrame, what: str) -> DataFrame:
 
 
 _SHIPPED: set[str] = set()
+#: Bytes of a batch that goes to a Python worker, where the session has not set a bound of its own.
+BATCH_KEY, BATCH_BYTES, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20, 64 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers, once per application."""
+    """Make this package importable in the Python workers, once per application, and keep their batches small.
+
+    A worker's memory follows the bytes of a batch, so these are bounded and not only its rows.
+    """
+    if spark.conf.get(BATCH_KEY, str(BATCH_DEFAULT)).rstrip("b") == str(BATCH_DEFAULT):
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
