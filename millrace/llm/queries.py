@@ -111,6 +111,26 @@ SELECT conv_id, count(*) AS n_turns,
        (sum(upto) FILTER (role = 'assistant' OR i = n))::BIGINT AS formatted_chars,
        count(*) FILTER (role = 'assistant' OR i = n) AS n_examples
 FROM p GROUP BY conv_id
+""",
+    "op3_minhash_hamming_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) >= 3 THEN list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))
+                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w
+), e AS (
+  SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS i FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM p WHERE 100 * i >= 85 * (nx + ny - i)
+), bi AS (
+  SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), reach AS (
+  SELECT doc_id, doc_id AS c FROM s UNION SELECT b.y, r.c FROM reach r JOIN bi b ON b.x = r.doc_id
+)
+SELECT s.doc_id, CAST(len(any_value(sh)) AS BIGINT) AS n_shingles, min(c) AS component_id, s.doc_id = min(c) AS kept
+FROM s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id
 """,
     "op7_chunk_recipe_dedup": """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
