@@ -7,11 +7,13 @@ with at most one difference, so with the keys "chunk without place p", for every
 all such pairs meet in a bucket.  (At the threshold of 0.85 a pair differs in 4.8 places on
 average, and fails to meet with a chance of 2e-8; at 0.8 of 1e-6.)
 
-Pairs are never listed bucket by bucket.  In each round every class is tried against one
-member of its bucket that is not yet in its component (first the smallest, then others by a
-hash), links are confirmed on the full shingle sets, and components are joined.  What is then
-left of the buckets that still hold several components is compared exhaustively, in blocks,
-across components only, so no link between different texts is lost.
+Pairs are never listed bucket by bucket.  In the first round every class is tried against the
+smallest of each of its buckets, in further rounds against the nearest by signature, over all
+its buckets, that is in another component and was not tried; links are confirmed on the full
+shingle sets, and components are joined.  A family of copies that resemble their original more
+than each other thus finds it.  What is then left of the buckets that still hold several
+components is compared exhaustively, in blocks, across components only, so no link between
+different texts is lost.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,16 +31,28 @@ from .runtime import settle, ship
 from .words import Words
 
 CHUNKS, PLACES = 8, 4
-#: Pairs that meet in a bucket and differ in more places than this are not tried: at a similarity of 0.8 the chance of more is 3e-8.
-MOST_APART = 20
+#: Pairs that meet in a bucket and differ in more places than this are not tried: the chance of more is 2e-8 at a similarity of 0.85, 7e-6 at 0.8.
+MOST_APART = 17
 #: Classes of one bucket that a task compares exhaustively, against as many others.
 BLOCK = 2000
-#: Rounds against one other member of each bucket before the exhaustive comparison.
-STAR_ROUNDS = 2
+#: One-bit places of the fine signature, which only classes of open buckets get.
+FINE = 2048
+#: Stands for no class; ids are compared as they are, so it must not be one.
+NO_CLASS = -(1 << 63)
+#: Rounds in which every class tries the nearest other class of its buckets, before the exhaustive comparison.
+NEAR_ROUNDS = 3
 
 _SEED = np.random.default_rng(20240229)
 FLIP = _SEED.integers(0, 1 << 63, CHUNKS * PLACES, dtype=np.uint64) * np.uint64(2)
 TIMES = _SEED.integers(0, 1 << 63, CHUNKS * PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+FINE_FLIP = _SEED.integers(0, 1 << 63, FINE, dtype=np.uint64) * np.uint64(2)
+FINE_TIMES = _SEED.integers(0, 1 << 63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def most_apart_fine(percent: int) -> int:
+    """In how many places fine signatures of a linked pair may differ: 5.5 standard deviations above the mean, exceeded with a chance of 4e-8."""
+    p = (1 - percent / 100) / 2
+    return int(FINE * p + 5.5 * (FINE * p * (1 - p)) ** 0.5) + 1
 
 
 def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,6 +162,25 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int, id_col: s
     return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long").distinct()
 
 
+def fine_signatures(ids: DataFrame, docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    """``rep, fine``: signatures of FINE one-bit minima for the given classes (``rep``)."""
+
+    def sign(batches):
+        for b in batches:
+            for first, rows, h, ends in _each(b.column(1), n):
+                full = np.flatnonzero(np.diff(ends))
+                sig = np.zeros((FINE, rows), np.uint8)
+                if len(full):
+                    starts = ends[full]
+                    for i in range(FINE):
+                        sig[i, full] = np.minimum.reduceat((h ^ FINE_FLIP[i]) * FINE_TIMES[i], starts) >> np.uint64(7) & np.uint64(1)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, rows), pa.array(list(map(bytes, np.packbits(sig.T, axis=1))), pa.binary())], names=["rep", "fine"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("t")).join(ids, "rep", "left_semi")
+    # rows that repeat an id count once
+    return texts.mapInArrow(sign, "rep long, fine binary").groupBy("rep").agg(F.min("fine").alias("fine"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, label`` for the nodes of ``edges`` (a, b): the smallest node each can reach.
 
@@ -180,7 +212,8 @@ def near_duplicates(
     percent: int = 80,
     id_col: str = "doc_id",
     text_col: str = "text",
-    star_rounds: int = STAR_ROUNDS,
+    leaders: bool = True,
+    near_rounds: int = NEAR_ROUNDS,
     block: int = BLOCK,
 ) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``.
@@ -207,27 +240,37 @@ def near_duplicates(
         x = pairs.join(small.alias("x"), F.col("a") == F.col("x.rep")).join(small.alias("y"), F.col("b") == F.col("y.rep"))
         return x.filter(near_enough(F.col("x.n_shingles"), F.col("y.n_shingles"), percent) & (places_apart("x", "y") <= MOST_APART)).select("a", "b")
 
-    links = None
-    labels = None
-    for i in range(star_rounds):
-        if labels is None:
-            pairs = crowd.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
-        else:
-            open_ = _open(crowd, labels)
-            other = open_.groupBy("key").agg(F.min_by(F.struct("rep", "label"), F.xxhash64("label", F.lit(i))).alias("o"))
-            pairs = open_.join(other, "key").filter("label <> o.label").select(F.least("rep", "o.rep").alias("a"), F.greatest("rep", "o.rep").alias("b"))
-        found = settle(confirmed(settle(tried(pairs.distinct()), "tried"), docs, n, percent, id_col, text_col), "links")
+    links = labels = failed = None
+
+    def confirm(pairs: DataFrame) -> bool:
+        """Confirm pairs, and join components where there are new links."""
+        nonlocal links, labels
+        found = settle(confirmed(pairs, docs, n, percent, id_col, text_col), "links")
         if found.isEmpty():
-            break
+            return False
         links = found if links is None else links.union(found)
         labels = settle(components(links), "components")
+        return True
+
+    if leaders:
+        confirm(settle(tried(crowd.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()), "tried"))
+        # of a bucket of two the one pair has now been tried
+        crowd = crowd.filter("n > 2")
     open_ = settle(_open(crowd, labels), "open")
     if not open_.isEmpty():
-        left = settle(_exhaust(open_, small, percent, block), "left")
-        found = settle(confirmed(left, docs, n, percent, id_col, text_col), "links")
-        if not found.isEmpty():
-            links = found if links is None else links.union(found)
-            labels = settle(components(links), "components")
+        fine = fine_signatures(open_.select("rep").distinct(), docs, n, id_col, text_col)
+        small = settle(small.join(fine, "rep"), "fine")
+    for _ in range(near_rounds):
+        if open_.isEmpty():
+            break
+        chosen = _compared(open_, small, percent, block, leaders, failed, nearest=True)
+        chosen = settle(chosen.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("o")).select("a", "o.b"), "nearest")
+        if chosen.isEmpty() or not confirm(settle(_pairs(chosen), "tried")):
+            break
+        failed = chosen if failed is None else failed.union(chosen)
+        open_ = settle(_open(open_.drop("label"), labels), "open")
+    if not open_.isEmpty():
+        confirm(settle(_pairs(_compared(open_, small, percent, block, leaders, failed, nearest=False)), "left"))
     of_class = classes.select(*sets, "rep")
     if labels is not None:
         of_class = of_class.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*sets, F.coalesce("label", "rep").alias("class_label"))
@@ -241,45 +284,102 @@ def near_duplicates(
 
 
 def _open(crowd: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members (key, rep, n, label) of the buckets that still hold several components."""
+    """Members (key, rep, leader, n, label) of the buckets that still hold several components."""
     if labels is None:
-        return crowd.select("key", "rep", "n", F.col("rep").alias("label"))
-    told = crowd.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label"))
+        return crowd.select("key", "rep", "leader", "n", F.col("rep").alias("label"))
+    told = crowd.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "leader", "n", F.coalesce("label", "rep").alias("label"))
     several = told.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     return told.join(several, "key", "left_semi")
 
 
-def _exhaust(open_: DataFrame, small: DataFrame, percent: int, block: int) -> DataFrame:
-    """All pairs (a, b) across components that share a bucket and are near by size and signature.
+def _pairs(chosen: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the smaller class first, each once."""
+    return chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    A bucket is cut into blocks of about ``block`` members, and every two of its blocks (and
-    each with itself) are one group.
+
+def _compared(open_: DataFrame, small: DataFrame, percent: int, block: int, leaders_tried: bool, failed: DataFrame | None, nearest: bool) -> DataFrame:
+    """Pairs (a, b, apart) across components that share a bucket and are near by size and signature.
+
+    All of them, or with ``nearest`` for every class of a group (as ``a``) only the one that is
+    nearest and that it did not choose before (``failed``, one row for each round).  A bucket
+    is cut into blocks of about ``block`` members, and every two of its blocks (and each with
+    itself) are one group.  Groups come sorted, and a task compares whatever groups a batch
+    holds at once: every row with the next of its group, the one after, and so on.  Pairs with
+    the bucket's leader, where these were tried before, are left out.
     """
     chunks = [f"c{i}" for i in range(CHUNKS)]
     cut = open_.withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
     cut = cut.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int"))
-    dealt = cut.select("key", "rep", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = cut.select("key", "rep", "leader", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).join(small, "rep")
+    if failed is not None:
+        past = failed.groupBy(F.col("a").alias("rep")).agg(F.collect_list("b").alias("f"))
+        dealt = dealt.join(past, "rep", "left")
+    before = [F.coalesce(F.try_element_at("f", F.lit(i + 1)), F.lit(NO_CLASS)) if failed is not None else F.lit(NO_CLASS) for i in range(NEAR_ROUNDS)]
+    dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    dealt = dealt.select("key", "x", "y", "own", "rep", "leader", "label", "n_shingles", *[c.alias(f"f{i}") for i, c in enumerate(before)], *chunks, "fine")
+
+    most_fine = most_apart_fine(percent)
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.ascontiguousarray(pdf[chunks].to_numpy(np.int64)).view(np.uint16)
-        rep, label, size, own = (pdf[c].to_numpy() for c in ("rep", "label", "n_shingles", "own"))
-        a, b = [], []
-        apart_blocks = bool((pdf["x"] != pdf["y"]).iloc[0])
-        step = max(1, (1 << 22) // max(1, len(pdf)))
-        for lo in range(0, len(pdf), step):
-            part = slice(lo, lo + step)
-            good = (label[part, None] != label) & (rep[part, None] < rep)
-            good &= np.minimum(size[part, None], size) * 100 >= np.maximum(size[part, None], size) * percent
-            if apart_blocks:
-                good &= own[part, None] != own
-            i, j = np.nonzero(good)
-            for at in range(0, len(i), 1 << 20):
-                ii, jj = i[at : at + (1 << 20)], j[at : at + (1 << 20)]
-                near = (sig[lo + ii] != sig[jj]).sum(1) <= MOST_APART
-                a.append(rep[lo + ii[near]])
-                b.append(rep[jj[near]])
-        join = lambda v: np.concatenate([*v, np.zeros(0, np.int64)])
-        return pd.DataFrame({"a": join(a), "b": join(b)})
-
-    return dealt.groupBy("key", "x", "y").applyInPandas(compare, "a long, b long").distinct()
+    def compare(batches):
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = np.stack([np.asarray(c).astype(np.int64) for c in batch.columns[:-1]])
+            fine = np.frombuffer(b"".join(batch.column(batch.num_columns - 1).to_pylist()), np.uint64).reshape(-1, FINE // 64)
+            if held is not None:
+                rows, fine = np.concatenate([held[0], rows], 1), np.concatenate([held[1], fine])
+            edge = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(0)) + 1
+            last = int(edge[-1]) if len(edge) else 0  # the last group may go on in the next batch
+            held = rows[:, last:], fine[last:]
+            yield from pairs_of(rows[:, :last], fine[:last], edge[:-1] if len(edge) else edge)
+        if held is not None:
+            yield from pairs_of(*held, np.zeros(0, np.int64))
+
+    def pairs_of(rows, fine, edge):
+        n = rows.shape[1]
+        if not n:
+            return
+        bounds = np.concatenate([edge, [n]])
+        end = np.repeat(bounds, np.diff(np.concatenate([[0], bounds])))
+        _, x, y, own, rep, leader, label, size = rows[:8]
+        past = rows[8 : 8 + NEAR_ROUNDS]
+        sig = np.ascontiguousarray(rows[8 + NEAR_ROUNDS :].T).view(np.uint16)
+        best, other = np.full(n, FINE + 1), np.zeros(n, np.int64)
+        i, d = np.arange(n), 0
+        while len(i):
+            d += 1
+            i = i[i + d < end[i]]
+            j = i + d
+            good = (label[i] != label[j]) & near_sizes(size[i], size[j], percent) & ((x[i] == y[i]) | (own[i] != own[j]))
+            if leaders_tried:
+                good &= (rep[i] != leader[i]) & (rep[j] != leader[j])
+            p, q = i[good], j[good]
+            near = (sig[p] != sig[q]).sum(1) <= MOST_APART
+            p, q = p[near], q[near]
+            apart = np.bitwise_count(fine[p] ^ fine[q]).sum(1, dtype=np.int64)
+            near = apart <= most_fine
+            p, q, apart = p[near], q[near], apart[near]
+            if not nearest:
+                # what one of the two chose before has been tried
+                new = ~((past[:, p] == rep[q]).any(0) | (past[:, q] == rep[p]).any(0))
+                if new.any():
+                    yield batch_of(rep[p[new]], rep[q[new]], apart[new])
+                continue
+            for one, two in ((p, q), (q, p)):
+                # a row stands once in one, so the assignments do not collide
+                better = (apart < best[one]) & ~(past[:, one] == rep[two]).any(0)
+                best[one[better]] = apart[better]
+                other[one[better]] = rep[two[better]]
+        if nearest and (has := best <= FINE).any():
+            yield batch_of(rep[has], other[has], best[has])
+
+    def batch_of(a, b, apart):
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(apart.astype(np.int64))], names=["a", "b", "apart"])
+
+    return dealt.mapInArrow(compare, "a long, b long, apart long")
+
+
+def near_sizes(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    return np.minimum(x, y) * 100 >= np.maximum(x, y) * percent

@@ -64,16 +64,31 @@ def test_three_words_at_85(spark):
 
 def test_only_exhaustive_in_small_blocks(spark):
     rows = corpus(6, 12)
-    got, _ = run(spark, rows, n=3, percent=85, star_rounds=0, block=5)
+    got, _ = run(spark, rows, n=3, percent=85, leaders=False, near_rounds=0, block=5)
     assert got == brute(rows, 3, 85)
 
 
 def test_five_words_at_80(spark):
     rows = corpus(7, 12)
-    got, _ = run(spark, rows, n=5, percent=80, star_rounds=1)
+    got, _ = run(spark, rows, n=5, percent=80, near_rounds=1)
     assert got == brute(rows, 5, 80)
 
 
+def test_copies_that_resemble_only_their_original(spark):
+    """Links run through the original, which is not the smallest id; nothing else links the family."""
+    random.seed(8)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(500, " ".join(base))]
+    for k in range(60):
+        copy = list(base)
+        for at in random.sample(range(0, 200, 4), 4):
+            copy[at] = f"x{k}_{at}"
+        rows.append((k, " ".join(copy)))
+    rows += [(1000 + k, " ".join(base[:100] + [f"y{k}_{i}" for i in range(100)])) for k in range(30)]
+    got, _ = run(spark, rows, n=3, percent=85)
+    assert got == brute(rows, 3, 85) and got[500][1] == 0
+
+
 def test_odd_rows(spark, odd_docs):
     got = minhash_join.near_duplicates(odd_docs, n=3, percent=85)
     rows = got.collect()
