@@ -465,6 +465,41 @@ def string_strip(t):
     return m.merge(d.doc_id, both=w.strip(), left_=w.lstrip(), right_=w.rstrip())
 
 
+#: Python's white space, spelled for a DuckDB regular expression.
+_WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ASKED = (
+    f"""regexp_full_match(w, '[\\p{{L}}\\p{{N}}]+') AS isalnum, regexp_full_match(w, '\\p{{L}}+') AS isalpha, regexp_full_match(w, '\\p{{N}}+') AS isnumeric, regexp_full_match(w, '{_WHITE}+') AS isspace,
+    regexp_matches(w, '\\p{{Ll}}') AND NOT regexp_matches(w, '[\\p{{Lu}}\\p{{Lt}}]') AS islower, regexp_matches(w, '\\p{{Lu}}') AND NOT regexp_matches(w, '[\\p{{Ll}}\\p{{Lt}}]') AS isupper"""
+)
+
+
+def _asked(e: Expr) -> dict[str, Expr]:
+    return {n: getattr(e.str, n)() for n in ("isalnum", "isalpha", "isnumeric", "islower", "isupper", "isspace")}
+
+
+@query(f"SELECT doc_id, {_ASKED} FROM (SELECT doc_id, text AS w FROM documents)")
+def string_predicates_whole(t):
+    d = t.documents
+    return m.merge(d.doc_id, **_asked(d.text))
+
+
+@query(f"SELECT c_custkey, {_ASKED} FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE lower(c_mktsegment) END AS w FROM customer)")
+def string_predicates_short(t):
+    df = t.spark.read.parquet(f"{t.folder}/customer.parquet")
+    c = m.data(df.select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise(F.lower("c_mktsegment")).alias("w")), spark=t.spark)
+    return m.merge(c.c_custkey, **_asked(c.w))
+
+
+@query(
+    f"""SELECT doc_id, regexp_replace(regexp_replace(text, '^{_WHITE}+', ''), '{_WHITE}+$', '') AS own, regexp_replace(regexp_replace(w, '^{_WHITE}+', ''), '{_WHITE}+$', '') AS both,
+    regexp_replace(w, '^{_WHITE}+', '') AS left_, regexp_replace(w, '{_WHITE}+$', '') AS right_ FROM (SELECT doc_id, text, '  ' || chr(9) || text || chr(10) AS w FROM documents)"""
+)
+def string_strip_whole(t):
+    d = t.documents
+    w = ("  \t" + d.text + "\n").str
+    return m.merge(d.doc_id, own=d.text.str.strip(), both=w.strip(), left_=w.lstrip(), right_=w.rstrip())
+
+
 # -- dates -----------------------------------------------------------------------------------
 @query(
     """SELECT event_id, ts::DATE AS date, year(ts)::BIGINT AS year, month(ts)::BIGINT AS month, day(ts)::BIGINT AS day, hour(ts)::BIGINT AS hour, minute(ts)::BIGINT AS minute, second(ts)::BIGINT AS second,
