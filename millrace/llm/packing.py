@@ -157,48 +157,23 @@ def local_search(patterns: Patterns, passes: int = 40, steps: int = 60_000) -> i
     limit, made = patterns.limit, 0
     for _ in range(passes):
         under = sorted((c for c in patterns.held if sum(c) < limit), key=sum)
-        offers: dict[int, set[tuple[tuple[int, ...], tuple[int, ...]]]] = defaultdict(set)
-        for c in under:  # offers[s]: receivers that can take s more for what they give back
+        # offers[k][s]: receivers that can take s more for what they give back, one piece at most (k = 0) or two (k = 1), by their room
+        offers: tuple[dict, dict] = (defaultdict(list), defaultdict(list))
+        for c in under:
             room = limit - sum(c)
-            backs = {(), *((a,) for a in c)}
-            if len(c) <= 12:
-                backs |= {(c[i], c[j]) for i in range(len(c)) for j in range(i + 1, len(c))}
-            for back in backs:
-                offers[room + sum(back)].add((c, back))
-        keys = sorted(offers)
+            for back in ((), *((a,) for a in dict.fromkeys(c)), *_pairs(c)):
+                offers[len(back) > 1][room + sum(back)].append((room, c, back))
+        for own in offers:
+            for some in own.values():
+                some.sort()
+        keys = [sorted(own) for own in offers]
         before = made
         for donor in under:
             while patterns.held.get(donor, 0) and made < steps:
-                best = None
-                gives = [(x,) for x in dict.fromkeys(donor)]
-                if len(donor) <= 12:
-                    gives += list(dict.fromkeys((donor[i], donor[j]) for i in range(len(donor)) for j in range(i + 1, len(donor))))
-                for give in gives:
-                    size = sum(give)
-                    for at in range(bisect_left(keys, size), min(bisect_left(keys, size) + 3, len(keys))):
-                        gone = []
-                        for receiver, back in offers[keys[at]]:
-                            n = patterns.held.get(receiver, 0)
-                            if not n:
-                                gone.append((receiver, back))
-                                continue
-                            gain = size - sum(back)
-                            if gain <= 0 or len(give) + len(back) > 3 or sum(receiver) < sum(donor) or (receiver == donor and n < 2):
-                                continue
-                            left = keys[at] - size  # the receiver's room afterwards
-                            rank = (left, -gain)
-                            if best is None or rank < best[0]:
-                                best = (rank, give, receiver, back)
-                            if left == 0:
-                                break
-                        offers[keys[at]].difference_update(gone)
-                        if best is not None and best[0][0] == 0:
-                            break
-                    if best is not None and best[0][0] == 0:
-                        break
+                best = _best_exchange(patterns, donor, offers, keys)
                 if best is None:
                     break
-                _, give, receiver, back = best
+                give, receiver, back = best
                 n = patterns.held[receiver] // 2 if receiver == donor else min(patterns.held[receiver], patterns.held[donor])
                 patterns.take(receiver, n)
                 patterns.take(donor, n)
@@ -210,6 +185,39 @@ def local_search(patterns: Patterns, passes: int = 40, steps: int = 60_000) -> i
     return made
 
 
+def _best_exchange(patterns: Patterns, donor: tuple[int, ...], offers, keys):
+    """The pieces to give, the receiver and what it gives back that leave the receiver least room, then gain most; None if nothing helps."""
+    room, best, rank = patterns.limit - sum(donor), None, (patterns.limit, 0)
+    for give in (*((x,) for x in dict.fromkeys(donor)), *_pairs(donor)):
+        size = sum(give)
+        for k in range(3 - len(give)):  # three pieces change places at most
+            for at in range(bisect_left(keys[k], size), len(keys[k])):
+                left = keys[k][at] - size  # the receiver's room afterwards
+                if left >= room or left > rank[0]:  # a receiver has no more room than the donor, and must lose some
+                    break
+                some = offers[k][keys[k][at]]
+                i = bisect_left(some, (room + 1,))
+                while i and some[i - 1][0] > left:
+                    i -= 1
+                    own, receiver, back = some[i]
+                    n = patterns.held.get(receiver, 0)
+                    if not n:
+                        del some[i]
+                        continue
+                    if receiver == donor and n < 2:
+                        continue
+                    if (left, left - own) < rank:
+                        best, rank = (give, receiver, back), (left, left - own)
+                    break
+    return best
+
+
+def _pairs(contents: tuple[int, ...]) -> list[tuple[int, int]]:
+    """The different pairs of pieces of a descending tuple of lengths; the lengths tell pieces apart, not their places."""
+    kinds = list(dict.fromkeys(contents))
+    return [(a, b) for i, a in enumerate(kinds) for b in kinds[i:] if a != b or contents.count(a) > 1]
+
+
 def _without(contents: tuple[int, ...], some: tuple[int, ...]) -> tuple[int, ...]:
     left = list(contents)
     for x in some:

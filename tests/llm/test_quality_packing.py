@@ -1,4 +1,5 @@
 """Quality rules and packing against brute force."""
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -97,6 +98,42 @@ def test_search_empties_sequences():
     assert sum(p.held.values()) < n and sum(sum(c) * m for c, m in p.held.items()) == 2000
 
 
+def exchanges(p):
+    """The exchanges of up to three pieces that would still help."""
+    some = lambda c, most: {x for k in range(most + 1) for x in itertools.combinations(c, k)}
+    left = [c for c in p.held if sum(c) < p.limit]
+    for donor, receiver in itertools.product(left, left):
+        if sum(receiver) >= sum(donor) and (receiver != donor or p.held[donor] > 1):
+            for give, back in itertools.product(some(donor, 2) - {()}, some(receiver, 2)):
+                if len(give) + len(back) <= 3 and 0 < sum(give) - sum(back) <= p.limit - sum(receiver):
+                    yield donor, receiver, give, back
+
+
+def test_search_exchanges_pairs_of_sequences_with_many_pieces():
+    p = packing.Patterns(100)
+    p.put((5,) * 19 + (3,), 1)
+    p.put((12,), 1)  # only for two fives
+    packing.local_search(p)
+    assert dict(p.held) == {(12,) + (5,) * 17 + (3,): 1, (5, 5): 1}
+
+
+def test_search_walks_past_unusable_offers():
+    p = packing.Patterns(100)
+    for c in [(50,), (51, 48), (52, 47), (53, 46), (45, 45)]:  # 50 goes to the last alone, and the nearest offers would gain nothing
+        p.put(c, 1)
+    packing.local_search(p)
+    assert not list(exchanges(p))
+
+
+@given(st.lists(st.integers(1, 40), max_size=120))
+@settings(max_examples=80, deadline=None, derandomize=True)
+def test_search_leaves_no_exchange(sizes):
+    p = packing.best_fit(dict(Counter(sizes)), 100)
+    packing.local_search(p)
+    assert Counter(x for c, n in p.held.items() for x in c * n) == Counter(sizes)
+    assert not list(exchanges(p))
+
+
 def test_packed_documents(spark, odd_docs):
     from tokenizers import Tokenizer
 
