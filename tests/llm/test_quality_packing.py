@@ -51,6 +51,16 @@ def test_ratio_keeps_good_and_drops_bad(spark):
     assert quality.apply(empty, quality.fit(empty, spark.createDataFrame(labels[:0], "doc_id long, quality int"))).count() == 0
 
 
+def test_target_counts_all_good_documents(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "log_ratio", lambda raw, target, smooth: seen.append((raw, target)) or np.zeros(len(raw)))
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "concat('w', id % 7) AS text").union(spark.sql("SELECT CAST(NULL AS LONG), 'w0'"))
+    labels = spark.range(29_000).selectExpr("id AS doc_id", "CASE WHEN id % 29 = 0 THEN 0 ELSE 1 END AS quality")
+    quality.fit(docs, labels.union(labels.limit(5)))
+    raw, target = seen[0]
+    assert raw.sum() == 30_001 and target.sum() == 28_000 - 2_000
+
+
 def test_ratio_is_the_brute_ratio():
     raw, target = np.array([10.0, 0, 5]), np.array([2.0, 0, 3])
     want = [np.log((t + 0.5) / (5 + 1.5)) - np.log((r + 0.5) / (15 + 1.5)) for r, t in zip(raw, target)]
