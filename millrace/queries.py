@@ -325,6 +325,12 @@ def sort_by_expression(t):
     return s.sort(["k", "o_orderkey"]).head(10).o_orderkey
 
 
+@query("SELECT o_orderkey, o_totalprice + o_custkey AS k FROM orders ORDER BY k, o_orderkey")
+def sort_by_expression_whole(t):
+    o = t.orders
+    return m.merge(o.o_orderkey, k=o.o_totalprice + o.o_custkey).sort(["k", "o_orderkey"])
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey OFFSET 40 LIMIT 60")
 def slice_range(t):
     return t.orders[["o_orderkey", "o_custkey"]][40:100]

@@ -32,3 +32,9 @@ def test_strips_see_whole_texts(spark, long_texts, where):
     for d, t in texts.items():
         w = "  \t" + t + "\n"
         assert (got[d].own, got[d].both, got[d].left_, got[d].right_) == (t.strip(), w.strip(), w.lstrip(), w.rstrip())
+
+
+def test_sort_by_expression_gives_the_whole_table_in_order(spark):
+    rows = spark.read.parquet(f"{SF}/orders.parquet").collect()
+    got = queries.QUERIES["sort_by_expression_whole"](spark, SF).collect()
+    assert [tuple(r) for r in got] == [(o, k) for k, o in sorted((r.o_totalprice + r.o_custkey, r.o_orderkey) for r in rows)]
