@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -121,9 +122,14 @@ class Forest:
         self.leaves.append((node, text))
 
     def add(self, source: str, page: int) -> None:
-        """Parse one page; markup that is broken is read as browsers would, roughly."""
+        """Parse one page; markup that is broken is read as browsers would, roughly.
+
+        The tree is DEEPEST elements deep at most: what is nested deeper is opened and closed
+        as usual, but hangs from the innermost element above that depth.
+        """
         root = self._element(-1, "", page, "html", "")
         stack: list[tuple[str, int, bool]] = [("html", root, False)]
+        opened: Counter[str] = Counter()  # tags on the stack, so that it is only searched for what it holds
         parts: list[tuple[str, bool]] = []
         link, at, end = False, 0, len(source)
 
@@ -136,9 +142,12 @@ class Forest:
             nonlocal link
             flush()
             link = stack[n][2]
+            opened.subtract(tag for tag, _, _ in stack[n:])
             del stack[n:]
 
         def close(targets, hidden_by, whole_scope=True):
+            if not any(opened[x] for x in targets):
+                return
             for n in range(len(stack) - 1, 0, -1):
                 if stack[n][0] in targets:
                     pop(n)
@@ -170,7 +179,7 @@ class Forest:
                 if tag in ("html", "body"):
                     flush()
                     continue
-                for n in range(len(stack) - 1, 0, -1):
+                for n in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                     if stack[n][0] == tag:
                         pop(n)
                         break
@@ -191,8 +200,9 @@ class Forest:
             if tag in ENDS:
                 close(*ENDS[tag])
             node = self._element(stack[-1][1], stack[-1][0], page, tag, m[3] or m[6] or "")
-            if tag not in VOID and len(stack) < DEEPEST:
-                stack.append((tag, node, link))
+            if tag not in VOID:
+                stack.append((tag, node if len(stack) < DEEPEST else stack[-1][1], link))
+                opened[tag] += 1
         flush()
 
     def arrays(self):

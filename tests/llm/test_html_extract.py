@@ -56,6 +56,16 @@ def test_markup_is_read_as_browsers_do():
     assert [t for _, t in forest.leaves] == ["a <b> & c d e", "fgh", "i", "j", "k", "l", "m < no"]
 
 
+def test_deep_elements_close_only_themselves():
+    for deep in (10, 300, 20_000):
+        forest = H.Forest()
+        forest.add("<section><div><p>a</p>" + "<div>" * deep + "deep" + "</div>" * deep + "<p>b</div><p>c</section><p>d", 0)
+        up = lambda n: [] if n < 0 else [n, *up(forest.parent[n])]
+        place = {t: up(forest.parent[n])[1] for n, t in forest.leaves}  # the parent of each leaf's own p
+        assert [t for _, t in forest.leaves] == ["a", "deep", "b", "c", "d"] and max(forest.depth) <= H.DEEPEST
+        assert place["a"] == place["b"] and forest.parent[place["b"]] == place["c"] and forest.parent[place["c"]] == place["d"]
+
+
 def test_odd_rows(spark, model):
     article = "<html><body><nav><a href=x>menu</a></nav><article><h1>Head</h1>" + "<p>Some words of text, said here.</p>" * 3 + "</article><footer>&copy; us</footer>"
     deep = "<div>" * 3000 + "<p>deep" + "</div>" * 3000
