@@ -151,8 +151,8 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return x, rows
 
 
-def train(texts: list[str], languages: list[str], size: int = 10, epochs: int = 6, batch: int = 128, most_segments: int = 5000, rate: float = 0.01, seed: int = 7) -> Network:
-    """A network for the given labelled texts: Adam over at most ``most_segments`` segments, evenly by language."""
+def train(texts: list[str], languages: list[str], size: int = 10, epochs: int = 6, batch: int = 128, rate: float = 0.01, seed: int = 7) -> Network:
+    """A network for the given labelled texts: Adam over all their segments."""
     rng = np.random.default_rng(seed)
     names = sorted(set(languages))
     net = Network.start(names, size, rng)
@@ -161,11 +161,8 @@ def train(texts: list[str], languages: list[str], size: int = 10, epochs: int =
     data, offsets = flat(pa.array(texts, pa.large_string()))
     x, rows = segments(data, offsets)
     y = np.array([names.index(s) for s in languages])[rows]
-    share = most_segments // len(names)
-    chosen = np.concatenate([rng.permutation(np.flatnonzero(y == k))[:share] for k in range(len(names))])
-    if not len(chosen):
+    if not len(y):
         return net
-    x, y = x[:, chosen], y[chosen]
     first, second = ([np.zeros_like(p) for p in net.parameters] for _ in range(2))
     step, total = 0, epochs * -(-len(y) // batch)
     for _ in range(epochs):
@@ -226,19 +223,18 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, sample_chars: int = 600, most_languages: int = 64, **more) -> Network:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, sample_chars: int = 600, **more) -> Network:
     """Train on a bounded sample of the labelled documents that are not held out.
 
-    For each of at most ``most_languages`` languages (by number of documents) about
-    ``per_language`` documents are drawn by a hash of their id, and of each one passage of
-    ``sample_chars`` characters, so the driver holds a bounded amount of text.
+    For every language about ``per_language`` documents are drawn by a hash of their id, and of
+    each one passage of ``sample_chars`` characters, all of which is learned, so the driver holds
+    a bounded amount of text for each language.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).filter(~held_out("id") & F.col("id").isNotNull() & F.col("l").isNotNull())
-    counts = known.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(most_languages).collect()
+    counts = known.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy("l").collect()  # a row a language
     u = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1 << 30))
-    chance = F.lit(None).cast("double")
-    for r in counts:
-        chance = F.when(F.col("l") == r.l, F.lit(min(1.0, per_language / r.n) * (1 << 30))).otherwise(chance)
+    chances = [F.lit(x) for r in counts for x in (r.l, min(1.0, per_language / r.n) * (1 << 30))]
+    chance = F.element_at(F.create_map(*chances), F.col("l")) if chances else F.lit(None).cast("double")
     room = F.greatest(F.length("t") - sample_chars, F.lit(0)) + 1
     passage = F.substring("t", (F.pmod(F.xxhash64("id", F.lit(29)), room) + 1).cast("int"), F.lit(sample_chars))
     # the limit only guards the driver: about per_language documents a language pass the filter

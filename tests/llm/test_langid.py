@@ -66,6 +66,16 @@ def test_training_never_sees_held_out_rows(spark):
     assert langid.fit(docs, epochs=1).languages == ["a", "b"]
 
 
+def test_every_language_and_segment_is_learned(spark, monkeypatch):
+    docs = spark.range(1400).selectExpr("id AS doc_id", "repeat('x', 640) AS text", "concat('l', id % 70) AS lang")
+    seen = []
+    gradients = langid.Network.gradients
+    monkeypatch.setattr(langid.Network, "gradients", lambda net, x, y: seen.append(len(y)) or gradients(net, x, y))
+    net = langid.fit(docs, epochs=1, size=2)
+    kept = docs.filter(~langid.held_out()).count()
+    assert len(net.languages) == 70 and sum(seen) == kept * 10  # 600 characters are ten segments of 64 bytes
+
+
 def test_odd_rows(spark, odd_docs):
     net = langid.fit(odd_docs, epochs=1)
     rows = langid.predict(odd_docs, net).collect()
