@@ -106,8 +106,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
     """One row per input row: ``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, with ``keep_ids``, ``ids``.
 
     ``decoded_sha256`` is the digest of the bytes that decoding the ids gives, so it equals the
-    digest of the text's bytes.  A null text is empty; ids may be null or repeat; other columns
-    are ignored; an empty table gives no rows.
+    digest of the text's bytes.  A null text is empty; very long ones are read whole; ids may be
+    null or repeat; other columns are ignored; an empty table gives no rows.
     """
     ship(docs.sparkSession)
 

@@ -16,7 +16,8 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
-from .columns import blocks, span_hashes
+from .columns import SpanMap, blocks, eights, span_keys
+from .words import Numbers
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: The code points with the White_Space property.
@@ -73,88 +74,52 @@ def spans(cp: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.append(starts[1:], len(cp))[: len(starts)]
 
 
-class HashMap:
-    """An open-addressing table of 64-bit keys, looked up and filled by whole arrays."""
-
-    def __init__(self, bits: int):
-        self.mask = np.uint64((1 << bits) - 1)
-        self.keys = np.zeros(1 << bits, np.uint64)
-        self.values = np.zeros(1 << bits, np.int64)
-        self.size = 0
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """The value of each key, or -1."""
-        at = (h & self.mask).astype(np.int64)
-        got = self.keys[at]
-        out = np.where(got == h, self.values[at], -1)
-        left = np.flatnonzero((got != h) & (got != 0))
-        while len(left):
-            at[left] = (at[left] + 1) & int(self.mask)
-            got = self.keys[at[left]]
-            hit = got == h[left]
-            out[left[hit]] = self.values[at[left[hit]]]
-            left = left[~hit & (got != 0)]
-        return out
-
-    def add(self, h: np.ndarray, values: np.ndarray) -> None:
-        """Add new, different keys."""
-        at = (h & self.mask).astype(np.int64)
-        left = np.arange(len(h))
-        while len(left):
-            free = self.keys[at[left]] == 0
-            self.keys[at[left[free]]] = h[left[free]]
-            won = self.keys[at[left]] == h[left]
-            self.values[at[left[won]]] = values[left[won]]
-            left = left[~won]
-            at[left] = (at[left] + 1) & int(self.mask)
-        self.size += len(h)
-
-
 class Encoder:
     """Encodes rows by way of pre-tokens: a fixed first tier, then a cache that a worker fills.
 
-    ``encode`` turns a list of different pre-tokens into lists of ids.  Keys are 64-bit hashes
-    of the code points.  The cache is emptied when it holds ``most`` pre-tokens.
+    ``encode`` turns a list of different pre-tokens into lists of ids.  Both tiers compare the
+    bytes of a pre-token before they answer for it, so answers do not depend on what a worker
+    has seen.  The cache is emptied when it holds ``most`` pre-tokens.
     """
 
     def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], most: int = 1 << 19, counts_only: bool = False):
         self.encode, self.most, self.counts_only = encode, most, counts_only
-        self.first: HashMap | None = None
+        self.first: SpanMap | None = None
         self.clear()
 
     def clear(self) -> None:
-        self.cache = HashMap((self.most - 1).bit_length() + 1)
+        self.cache = SpanMap((self.most - 1).bit_length() + 1)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def preload(self, keys: np.ndarray, values: np.ndarray) -> None:
+    def preload(self, spans: list[bytes], values: np.ndarray) -> None:
         """The first tier: the lengths of frequent pre-tokens, for :meth:`counts`."""
-        self.first = HashMap(max(1, len(keys)).bit_length() + 1)
-        self.first.add(keys, values.astype(np.int64))
-
-    def _tokens(self, data: np.ndarray, offsets: np.ndarray):
-        text = data.tobytes().decode("utf-8")
-        cp = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        points = np.zeros(len(data) + 1, np.int64)
-        np.cumsum((data & 0xC0) != 0x80, out=points[1:])
-        rows = points[offsets]
-        starts, ends = spans(cp, rows)
-        h = span_hashes(cp.astype(np.uint64), starts, ends)
-        h[h == 0] = 1
-        return text, rows, starts, ends, h
-
-    def _values(self, text: str, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """For each pre-token its number of ids, or its place in the pool times 2**24 plus that."""
+        self.first = SpanMap(max(1, len(spans)).bit_length() + 1)
+        if spans:
+            ends = np.cumsum([len(x) for x in spans])
+            starts = np.concatenate([[0], ends[:-1]])
+            self.first.add(span_keys(eights(np.frombuffer(b"".join(spans), np.uint8)), starts, ends), values.astype(np.int64), spans)
+
+    def _values(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each pre-token of the rows its number of ids, or its place in the pool times 2**24 plus that; and where each row's begin."""
+        raw = data.tobytes()
+        cp = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32)
+        at = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # of each code point
+        starts = at[split(cp, np.searchsorted(at, offsets))]
+        ends = np.append(starts[1:], len(data))[: len(starts)]
+        words = eights(data)
+        keys = span_keys(words, starts, ends)
         if self.first is not None:
-            out = self.first.find(h)
+            out = self.first.find(keys, words, starts, ends)
             left = np.flatnonzero(out < 0)
-            out[left] = self.cache.find(h[left])
+            out[left] = self.cache.find(keys[left], words, starts[left], ends[left])
         else:
-            out = self.cache.find(h)
+            out = self.cache.find(keys, words, starts, ends)
         left = np.flatnonzero(out < 0)
         if len(left):
-            new, one, back = np.unique(h[left], return_index=True, return_inverse=True)
-            at = left[one]
-            ids = self.encode([text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            numbers = Numbers()
+            back = np.fromiter([numbers[raw[a:b]] for a, b in zip(starts[left].tolist(), ends[left].tolist(), strict=True)], np.int64, len(left))
+            spans = list(numbers)
+            ids = self.encode([x.decode() for x in spans])
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             values = sizes
             if not self.counts_only:
@@ -165,12 +130,13 @@ class Encoder:
                 self.pool[self.used : self.used + total] = [x for own in ids for x in own]
                 self.used += total
             out[left] = values[back]
-            if self.cache.size + len(new) <= self.most:
-                self.cache.add(new, values)
-        return out
+            if self.cache.count + len(spans) <= self.most:
+                one = np.unique(back, return_index=True)[1]
+                self.cache.add(keys[left[one]], values, spans)
+        return out, np.searchsorted(starts, offsets)
 
     def _room(self) -> None:
-        if self.cache.size > self.most * 0.9 or self.used > 8 * self.most:
+        if self.cache.count > self.most * 0.9 or self.used > 8 * self.most or self.cache.used > 32 * self.most:
             self.clear()
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -178,12 +144,11 @@ class Encoder:
         out = np.zeros(len(offsets) - 1, np.int64)
         for a, b in blocks(data, offsets):
             lo = offsets[a]
-            text, rows, starts, ends, h = self._tokens(data[lo : offsets[b]], offsets[a : b + 1] - lo)
-            values = self._values(text, starts, ends, h)
+            values, rows = self._values(data[lo : offsets[b]], offsets[a : b + 1] - lo)
             if not self.counts_only:
                 values = values & 0xFFFFFF
             sums = np.concatenate([[0], np.cumsum(values)])
-            out[a:b] = np.diff(sums[np.searchsorted(starts, rows)])
+            out[a:b] = np.diff(sums[rows])
             self._room()
         return out
 
@@ -191,10 +156,9 @@ class Encoder:
         """For each block of rows: its first row, its ids end to end, and the offsets of its rows in them."""
         for a, b in blocks(data, offsets):
             lo = offsets[a]
-            text, rows, starts, ends, h = self._tokens(data[lo : offsets[b]], offsets[a : b + 1] - lo)
-            values = self._values(text, starts, ends, h)
+            values, rows = self._values(data[lo : offsets[b]], offsets[a : b + 1] - lo)
             sizes = values & 0xFFFFFF
             sums = np.concatenate([[0], np.cumsum(sizes)])
             flat = self.pool[np.repeat((values >> 24) - sums[:-1], sizes) + np.arange(sums[-1])]
-            yield a, flat, sums[np.searchsorted(starts, rows)]
+            yield a, flat, sums[rows]
             self._room()

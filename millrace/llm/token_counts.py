@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import flat, span_hashes
+from .columns import flat
 from .pretokens import Encoder, spans
 from .runtime import ship
 
@@ -65,33 +65,24 @@ def count_column(texts: pa.Array, enc: Encoder) -> np.ndarray:
     return sums + np.bincount(rows, minlength=len(texts)) - 1  # and the token at each cut
 
 
-def frequent_lengths(docs: DataFrame, path: str, id_col: str, text_col: str, entries: int, sample_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and token counts of frequent pre-tokens of a sample of about ``sample_rows`` rows.
+def frequent_lengths(docs: DataFrame, path: str, text_col: str, entries: int, sample_rows: int, sample_chars: int) -> tuple[list[bytes], np.ndarray]:
+    """Frequent pre-tokens and their token counts, from passages of the rows that come first.
 
-    Only the speed of the counts depends on the sample.
+    Only the speed of the counts depends on the sample, which is at most ``sample_rows``
+    passages of ``sample_chars`` characters; the rows are not counted for it.
     """
-    share = min(1.0, sample_rows / max(1, docs.count()))
-    u = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20))
-    rows = docs.filter(u < F.lit(int(share * (1 << 20)))).select(text_col).limit(2 * sample_rows).toArrow()
+    room = F.greatest(F.length(text_col) - sample_chars, F.lit(0)) + 1
+    passage = F.substring(F.col(text_col), (F.pmod(F.xxhash64(text_col), room) + 1).cast("int"), F.lit(sample_chars))
     seen: Counter[str] = Counter()
-    for chunk in rows.column(0).chunks:
+    for chunk in docs.select(passage.alias("t")).limit(sample_rows).toArrow().column(0).chunks:
         data, _ = flat(around_special(chunk)[0])
         text = data.tobytes().decode()
         cp = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         starts, ends = spans(cp, np.array([0, len(cp)]))
         seen.update([text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
     words = [w for w, _ in seen.most_common(entries)]
-    if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint16)
-    data, offsets = flat(pa.array(words, pa.large_string()))
-    cp = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-    ends = np.cumsum([len(w) for w in words])
-    starts = np.concatenate([[0], ends[:-1]])
-    h = span_hashes(cp.astype(np.uint64), starts, ends)
-    n = np.array([len(e.ids) for e in tokenizer(path).encode_batch_fast(words, add_special_tokens=False)], np.int64)
-    _, one = np.unique(h, return_index=True)
-    one = one[h[one] != 0]
-    return h[one], n[one].astype(np.uint32)
+    counts = [len(e.ids) for e in tokenizer(path).encode_batch_fast(words, add_special_tokens=False)] if words else []
+    return [w.encode() for w in words], np.array(counts, np.int64)
 
 
 def token_counts(
@@ -101,17 +92,19 @@ def token_counts(
     text_col: str = "text",
     limit: int = 1024,
     entries: int = 1 << 16,
-    sample_rows: int = 500,
+    sample_rows: int = 1000,
+    sample_chars: int = 2000,
 ) -> DataFrame:
     """One row per input row: ``doc_id, n_bytes, n_tokens, over_limit``.
 
     Whole texts, as the library counts them without begin, end or added tokens; its added
-    token inside a text counts as one.  A null text is empty (0 bytes, 0 tokens); ids may be
-    null or repeat and pass through; other columns are ignored; an empty table gives no rows.
+    token inside a text counts as one.  A null text is empty (0 bytes, 0 tokens); very long ones
+    are read whole; ids may be null or repeat and pass through; other columns are ignored; an
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
-    table = spark.sparkContext.broadcast(frequent_lengths(docs, tokenizer_path, id_col, text_col, entries, sample_rows))
+    table = spark.sparkContext.broadcast(frequent_lengths(docs, tokenizer_path, text_col, entries, sample_rows, sample_chars))
 
     def count(batches):
         enc = encoder(tokenizer_path, True)

@@ -23,3 +23,9 @@ def odd_docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr(
         "doc_id", "text", "lang", "source", "n_chars", "'clash' AS keep_id", "1 AS size", "'x' AS h", "2 AS kept"
     )
+
+
+def thue_morse(n=1024):
+    """Two different words of n letters that polynomial hashes with an odd base take for one."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))

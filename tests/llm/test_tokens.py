@@ -9,10 +9,12 @@ import pyarrow as pa
 import pytest
 import regex
 
-from millrace.llm import bpe_codec, token_counts
-from millrace.llm.columns import flat
+from millrace.llm import bpe_codec, packing, token_counts
+from millrace.llm.columns import SpanMap, eights, flat, span_keys
 from millrace.llm.pretokens import split
 
+from .conftest import thue_morse
+
 JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
 
 
@@ -77,3 +79,43 @@ def test_codec_on_random_bytes(seed):
     for w, ids in zip(words, c.encode_pretokens(words)):
         assert ids == e._encode_single_piece(w), w
     assert zlib.crc32(c.decode(ids)) == zlib.crc32(words[-1].encode())
+
+
+def test_caches_compare_pretokens(spark):
+    """Pre-tokens that polynomial hashes take for one, in one partition and in two, in either order."""
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    one, two = thue_morse()
+    rows = [(1, one), (2, two), (3, f"{two} {one}"), (4, one[:8] + " " + two[:8])]
+    library = Tokenizer.from_file(JSON)
+    ids = {d: library.encode(t, add_special_tokens=False).ids for d, t in rows}
+    ranks = {base64.b64decode(k): int(v) for k, v in (x.split() for x in open(RANKS, "rb") if x.strip())}
+    bpe = tiktoken.Encoding("x", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for order, parts in ((1, 1), (-1, 1), (1, 2)):
+        docs = spark.createDataFrame(rows[::order], "doc_id long, text string").repartition(parts, "doc_id")
+        assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, JSON).collect()} == {d: len(x) for d, x in ids.items()}
+        for r in bpe_codec.encode_documents(docs, RANKS).collect():
+            text = dict(rows)[r.doc_id]
+            assert r.ids == bpe.encode_ordinary(text) and r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        packed = {r.doc_id: r.ids_crc32 for r in packing.pack_documents(docs, JSON, 4096, 2).collect()}
+        assert packed == {d: zlib.crc32(b"".join(i.to_bytes(4, "little") for i in [*x, 2])) for d, x in ids.items()}
+
+
+def test_span_map_never_answers_for_another_span():
+    import numpy as np
+
+    random.seed(2)
+    spans = list({random.randbytes(random.choice([1, 2, 7, 8, 9, 15, 16, 17, 40, 1024, 1025])) for _ in range(3000)})
+    ends = np.cumsum([len(x) for x in spans])
+    starts = ends - [len(x) for x in spans]
+    words = eights(np.frombuffer(b"".join(spans), np.uint8))
+    keys = span_keys(words, starts, ends)
+    long = np.array([len(x) > 7 for x in spans])
+    for same in (False, True):  # the second time all hashed keys are one
+        k = np.where(long & same, np.uint64(2**64 - 5), keys)
+        m = SpanMap(13)
+        m.add(k[:2000], np.arange(2000), spans[:2000])
+        got = m.find(k, words, starts, ends)
+        assert all(g in (-1, i) for i, g in enumerate(got.tolist())) and (got[:2000][~long[:2000]] >= 0).all() and (got[2000:] == -1).all()
+        assert same or (got[:2000] >= 0)[np.array([len(x) <= 1024 for x in spans[:2000]])].all()
