@@ -11,6 +11,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from millrace.llm import packing, quality
+from millrace.llm.columns import mix
+from millrace.llm.words import digests
+
+from .conftest import thue_morse
 
 JSON = P.path("byte_bpe_50k.json")
 
@@ -33,6 +37,53 @@ def test_base_counts(spark, odd_docs):
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and r.kept == (not r.base_failed)
 
 
+def test_base_counts_of_hash_equal_words(spark):
+    one, two = thue_morse()
+    rows = [(1, f"{one}\n{two}\n{one} x\n{two} x"), (2, f"{one} {one} {one} {two} {two} {two}"), (3, f"{one} {two} {one} {two}")]
+    for parts in (1, 3):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = quality.apply(docs, quality.Model(np.zeros(16), 0.0)).collect()
+        assert {(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got} == {(d, *brute_base(t)) for d, t in rows}
+
+
+def test_verdicts_against_brute_force(spark):
+    """Counts, ratio, threshold and verdicts of a small table, worked out word by word."""
+    import random
+
+    random.seed(4)
+    rows = [(i, " ".join(random.choice("abcdefgh" if i % 3 else "efghijkl") + str(random.randint(0, 9)) for _ in range(random.randint(40, 90)))) for i in range(240)]
+    rows += [(300, None), (301, ""), (None, "a1 b2"), (5, rows[5][1])]
+    labels = [(i, int(i % 3 > 0)) for i in range(0, 240, 2)] + [(4, 1), (None, 1), (7, None), (999, 1)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    for most in (0, 1 << 21):
+        model = quality.fit(docs, known, bits=12, tuning_rows=20, most_ids=most)
+        got = {(r.doc_id, r.kept) for r in quality.apply(docs, model).collect()}
+        place = lambda g: int((mix(sum_of(g) + np.uint64(len(g))) & np.uint64((1 << 12) - 1))[0])
+        grams = lambda t: [place(w[i : i + n]) for w in [(t or "").split()] for n in (1, 2) for i in range(len(w) - n + 1)]
+        order = {r.doc_id: r.o for r in known.selectExpr("doc_id", "xxhash64(doc_id, 17) AS o").collect()}
+        kind = lambda q: sorted({d for d, x in labels if x == q and d is not None}, key=lambda d: (order[d], d))
+        tuning, bad = kind(1)[:60][::3], kind(0)[:20]
+        raw, target = Counter(), Counter()
+        for d, t in rows:
+            raw.update(grams(t))
+            target.update(grams(t) if d in set(kind(1)) - set(tuning) else [])
+        ratio = lambda g: np.log((target[g] + 0.5) / (target.total() + 2048)) - np.log((raw[g] + 0.5) / (raw.total() + 2048))
+        score = {d: np.mean([ratio(g) for g in grams(t)]) if grams(t) else 0.0 for d, t in rows}
+        long = {d for d, t in rows if len((t or "").split()) >= 50}
+        cut = quality.choose_threshold(np.array([score[d] for d in tuning if d in long]), np.array([score[d] for d in bad if d in long]))
+        assert abs(cut - model.threshold) < 1e-9
+        repeats = {d: brute_base(t)[4] for d, t in rows}
+        want = {(d, d in long and repeats[d] * 100 <= 50 * len(t.split()) and bool(score[d] >= cut)) for d, t in rows}
+        assert got == want
+
+
+def sum_of(gram):
+    h = np.zeros(1, np.uint64)
+    for w in gram:
+        h = mix(h + digests([w.encode()]))
+    return h
+
+
 def test_ratio_keeps_good_and_drops_bad(spark):
     import random
 
