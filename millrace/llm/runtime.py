@@ -27,19 +27,43 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
+#: Spark's switch for dropping a query's shuffle files when it has ended; a settled table does not need them again.
+CLEAN_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    Cuts the lineage, so a lost executor costs a re-read and not a recomputation; the table
-    goes when the application ends.
+    Cuts the lineage, so a lost executor costs a re-read and not a recomputation; the shuffle
+    files of the writing go when it has ended.  The table goes by :func:`release`, or when the
+    application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEAN_KEY, "false")
+    spark.conf.set(CLEAN_KEY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_KEY, before)
+    at, files = _place(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete settled tables that nothing reads any more."""
+    for df in tables:
+        if df is not None:
+            at, files = _place(df.sparkSession, df.settled_at)
+            files.delete(at, True)
+
+
+def _place(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 _SHIPPED: set[str] = set()
