@@ -13,7 +13,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from collections import Counter
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,14 +44,13 @@ ENDS = {
     "body": ({"head"}, set()),
 }
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/><]*)((?:[^>\"'<]|\"[^\"<]*\"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/><]*)([^>]*)>",
-    re.S,
-)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/><]*)", re.S)
+#: The rest of a tag; where quotes are broken it ends at the next ">" instead.
+REST = re.compile(r"((?:[^>\"'<]|\"[^\"<]*\"|'[^'<]*')*+)>")
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 
-FEATURES, KINDS, DEEPEST = 1 << 13, 64, 200
+FEATURES, KINDS = 1 << 13, 64
 
 
 class Forest:
@@ -122,16 +121,16 @@ class Forest:
         self.leaves.append((node, text))
 
     def add(self, source: str, page: int) -> None:
-        """Parse one page; markup that is broken is read as browsers would, roughly.
+        """Parse one page of any length and depth; markup that is broken is read as browsers would, roughly.
 
-        The tree is DEEPEST elements deep at most: what is nested deeper is opened and closed
-        as usual, but hangs from the innermost element above that depth.
+        The time follows the length: what is on the stack is found by tag, and a tag that is
+        never ended is text.
         """
         root = self._element(-1, "", page, "html", "")
         stack: list[tuple[str, int, bool]] = [("html", root, False)]
-        opened: Counter[str] = Counter()  # tags on the stack, so that it is only searched for what it holds
+        places: dict[str, list[int]] = defaultdict(list)  # where each tag stands on the stack
         parts: list[tuple[str, bool]] = []
-        link, at, end = False, 0, len(source)
+        link, at, end, last = False, 0, len(source), source.rfind(">")
 
         def flush():
             if parts:
@@ -142,18 +141,16 @@ class Forest:
             nonlocal link
             flush()
             link = stack[n][2]
-            opened.subtract(tag for tag, _, _ in stack[n:])
-            del stack[n:]
+            while len(stack) > n:
+                places[stack.pop()[0]].pop()
+
+        def innermost(tags) -> int:
+            return max((places[x][-1] for x in tags if places.get(x)), default=0)
 
         def close(targets, hidden_by, whole_scope=True):
-            if not any(opened[x] for x in targets):
-                return
-            for n in range(len(stack) - 1, 0, -1):
-                if stack[n][0] in targets:
-                    pop(n)
-                    if not whole_scope:
-                        return
-                elif stack[n][0] in hidden_by:
+            while (n := innermost(targets)) and n > innermost(hidden_by - targets):
+                pop(n)
+                if not whole_scope:
                     return
 
         while at < end:
@@ -164,10 +161,15 @@ class Forest:
             if not m:
                 break
             at = m.end()
-            name = m[2] or m[5]
-            if not name:
+            if not m[2]:
                 continue
-            tag, closing = name.lower(), bool(m[1] or m[4])
+            if at > last:
+                parts.append((html.unescape(m[0]), link))
+                continue
+            rest = REST.match(source, at)
+            attributes = rest[1] if rest else source[at : source.find(">", at)]
+            at += len(attributes) + 1
+            tag, closing = m[2].lower(), bool(m[1])
             if tag in INLINE:
                 if tag == "a":
                     link = not closing
@@ -176,13 +178,8 @@ class Forest:
                 parts.append((" ", link))
                 continue
             if closing:
-                if tag in ("html", "body"):
-                    flush()
-                    continue
-                for n in range(len(stack) - 1, 0, -1) if opened[tag] else ():
-                    if stack[n][0] == tag:
-                        pop(n)
-                        break
+                if tag not in ("html", "body") and places.get(tag):
+                    pop(places[tag][-1])
                 else:
                     flush()
                 continue
@@ -199,10 +196,10 @@ class Forest:
                     pop(len(stack) - 1)
             if tag in ENDS:
                 close(*ENDS[tag])
-            node = self._element(stack[-1][1], stack[-1][0], page, tag, m[3] or m[6] or "")
+            node = self._element(stack[-1][1], stack[-1][0], page, tag, attributes)
             if tag not in VOID:
-                stack.append((tag, node if len(stack) < DEEPEST else stack[-1][1], link))
-                opened[tag] += 1
+                places[tag].append(len(stack))
+                stack.append((tag, node, link))
         flush()
 
     def arrays(self):
@@ -301,7 +298,7 @@ def extract(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: st
 
     The text is the content blocks in page order, joined by two line feeds; character
     references are decoded and white space inside a block is one space.  A null or empty page,
-    or one without content, has an empty text.  Ids and urls pass through, null or repeated;
+    or one without content, has an empty text; very long and very deep ones are read whole.  Ids and urls pass through, null or repeated;
     other columns are ignored; an empty table gives no rows.
     """
     spark = pages.sparkSession

@@ -60,12 +60,32 @@ def test_deep_elements_close_only_themselves():
     for deep in (10, 300, 20_000):
         forest = H.Forest()
         forest.add("<section><div><p>a</p>" + "<div>" * deep + "deep" + "</div>" * deep + "<p>b</div><p>c</section><p>d", 0)
-        up = lambda n: [] if n < 0 else [n, *up(forest.parent[n])]
-        place = {t: up(forest.parent[n])[1] for n, t in forest.leaves}  # the parent of each leaf's own p
-        assert [t for _, t in forest.leaves] == ["a", "deep", "b", "c", "d"] and max(forest.depth) <= H.DEEPEST
+        place = {t: forest.parent[forest.parent[n]] for n, t in forest.leaves}  # the parent of each leaf's own element
+        assert [t for _, t in forest.leaves] == ["a", "deep", "b", "c", "d"] and max(forest.depth) == deep + 3
         assert place["a"] == place["b"] and forest.parent[place["b"]] == place["c"] and forest.parent[place["c"]] == place["d"]
 
 
+def test_a_deep_sidebar_stays_one(model):
+    body = "".join(f"<p>Some words of the article, number {i}, said here at length and with a full stop.</p>" for i in range(6))
+    for deep in (10, 250, 5000):
+        side = "<aside class=sidebar><ul>" + "<div class=widget>" * deep + "<a href=x>more</a>" + "</div>" * deep + "<li><a href=y>Popular now</a></ul></aside>"
+        got = model.texts([f"<html><body><article><h1>Head</h1>{body}</article>{side}<footer>us</footer></body></html>", f"<html><body>{side}<article><h1>Head</h1>{body}</article></body></html>"])
+        assert got[0] == got[1] and "Popular" not in got[0] and got[0].count("full stop") == 6
+
+
+def test_broken_markup_takes_linear_time():
+    """Half a million unended tags, quotes, comments, and elements that look through others: seconds, not hours."""
+    import time
+
+    n, began = 500_000, time.perf_counter()
+    sources = ["<p" * n, "<p" * n + ">", "<p a=\"" * n, "<p a='>" * n, "<!--" * n, "</div" * n, "<script>" * n, "<tr><table>" + "<div>" * n + "<tr></tr>" * n, "<div>" * n + "<p>" * n, "<li>" * n, "<" * n, "&" * n]
+    for source in sources:
+        forest = H.Forest()
+        forest.add(source, 0)
+        assert len(forest.parent) <= 2 * n + 3
+    assert time.perf_counter() - began < 120
+
+
 def test_odd_rows(spark, model):
     article = "<html><body><nav><a href=x>menu</a></nav><article><h1>Head</h1>" + "<p>Some words of text, said here.</p>" * 3 + "</article><footer>&copy; us</footer>"
     deep = "<div>" * 3000 + "<p>deep" + "</div>" * 3000
