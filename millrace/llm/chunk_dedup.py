@@ -1,6 +1,7 @@
 """Exact deduplication by content-defined chunk recipes, with DataFrame functions only.
 
-A text is cut where its own characters say so, so equal texts give equal chunks.  Chunks are
+A text is cut where its own bytes say so, in any script, so equal texts give equal chunks, and
+texts that share a passage share its chunks.  Chunks are
 deduplicated to verified identifiers; two texts are then equal exactly when their ordered
 identifier lists are.  Long texts move once, chunk by chunk, after a map-side distinct; what
 is grouped and joined afterwards is the short list of identifiers.
@@ -15,15 +16,25 @@ from pyspark.sql import functions as F
 
 from .runtime import settle
 
-#: Chunk sizes in characters; a cut falls after the first three-character context past the least size.
+#: Chunk sizes in UTF-8 bytes; a cut falls after the first context past the least size.
 LEAST, MOST = 256, 4096
-CUT = "[dhlptk0-4][aeiouy5-7][nrsm8-9]"
+
+
+def _some(start: int, stop: int, step: int) -> str:
+    return "[" + "".join(f"\\x{b:02x}" for b in range(start, stop, step)) + "]"
+
+
+#: Contexts: three ASCII bytes, each of a quarter of them; or the last bytes of two other characters, of an eighth and a quarter.
+CUT = _some(1, 0x80, 4) + _some(2, 0x80, 4) + _some(0, 0x80, 4) + "|" + _some(0x81, 0xC0, 8) + "[\\xc0-\\xff][\\x80-\\xbf]{0,2}" + _some(0x82, 0xC0, 4)
 
 
 def chunks_of(text: Column, least: int = LEAST, most: int = MOST, cut: str = CUT) -> Column:
-    """Array of consecutive chunks whose concatenation is ``text``; empty for an empty text."""
-    rest = f"(?s).{{{least},{most - 3}}}?(?:{cut}|\\z)|.{{1,{most}}}"
-    return F.regexp_extract_all(text, F.lit(rest), F.lit(0))
+    """Array of consecutive chunks of the UTF-8 bytes of ``text``, each byte as the character of its value; empty for an empty text.
+
+    Chunks are equal when their bytes are, and together they are the text's bytes.
+    """
+    rest = f"(?s).{{{least},{most - 5}}}?(?:{cut}|\\z)|.{{1,{most}}}"
+    return F.regexp_extract_all(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), F.lit(rest), F.lit(0))
 
 
 def exact_dedup(
@@ -38,7 +49,8 @@ def exact_dedup(
     text counts as the empty text.  A null id never beats another id; where every id of a
     group is null, ``keep_id`` is null and ``kept`` is false for all of it but true where the
     group has one row.  Rows that repeat an id and its text are all reported, with the same
-    answer.  Other columns are ignored whatever their names; an empty table gives no rows.
+    answer.  Very long texts are read whole.  Other columns are ignored whatever their names; an
+    empty table gives no rows.
 
     ``chunk_hash`` names a chunk.  A name is trusted only after every chunk that bears it has
     been compared in full; the chunks behind a shared name get variant numbers, and the texts
