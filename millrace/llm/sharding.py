@@ -2,9 +2,10 @@
 
 Records are ordered by a key, the hash of their text, so that equal texts stand together.  A
 size-weighted sample of keys gives quantile boundaries, which cut the order into many more
-ranges than shards; ranges that prove overfull when all records are measured are subdivided,
-by key where they hold several and by record where one key alone (a group of copies) fills
-them.  The parts, in order, are then dealt to the shards by their exact sizes.
+ranges than shards; ranges that prove overfull when all records are measured are subdivided
+by key.  A range of one key (a group of copies) stays whole while it fits a shard, and is
+subdivided by record beyond that.  Whole groups that fill more than a range are placed first,
+the largest on the emptiest shard; the other parts then fill the shards up in order.
 """
 
 from __future__ import annotations
@@ -54,11 +55,25 @@ def splitters(measured: DataFrame, total: int, ranges: int) -> np.ndarray:
     return np.unique(np.concatenate([cuts, hot, hot + 1]))
 
 
+def deal_out(sizes: np.ndarray, shards: int, large: float) -> np.ndarray:
+    """The shard of each part: those over ``large`` first, the largest on the emptiest shard, then the rest in order up to what each shard has left."""
+    out, fill = np.zeros(len(sizes), np.int64), np.zeros(shards)
+    for i in sorted(np.flatnonzero(sizes > large).tolist(), key=lambda i: (-sizes[i], i)):
+        out[i] = fill.argmin()
+        fill[out[i]] += sizes[i]
+    rest = np.flatnonzero(sizes <= large)
+    room = np.maximum(0, max(fill.max(), sizes.sum() / shards) - fill)
+    room *= sizes[rest].sum() / max(1.0, room.sum())
+    middle = np.cumsum(sizes[rest]) - sizes[rest] / 2
+    out[rest] = np.minimum(np.searchsorted(np.cumsum(room), middle, "right"), shards - 1)
+    return out
+
+
 def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``.
 
     Sizes are UTF-8 bytes plus 8 (a null text has none).  Equal texts share a shard unless
-    their group alone is over a part's fair size or a boundary falls between parts of it.
+    their group alone is over a shard's fair size.  Very long texts are measured whole.
     Null and repeated ids are fine; every row gets a shard and a slot of its own, slots being
     gapless from 0 in each shard; an empty table gives no rows; other columns are ignored.
     """
@@ -75,13 +90,14 @@ def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
     ranged = held.withColumn("r", range_of("key"))
     fair = max(1.0, total / ranges)
     sizes = ranged.groupBy("r").agg(F.sum("size").alias("bytes"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+    one_key = F.col("lo") == F.col("hi")
+    least = F.when(one_key, F.lit(total / shards)).otherwise(F.lit(fair))  # what a range may hold before it is subdivided
     # the driver sees one row for each range, at most 2 * MOST_RANGES + 1
-    over = sizes.select("r", (F.col("lo") == F.col("hi")).alias("one_key"), F.greatest(F.lit(1), F.ceil(F.col("bytes") / F.lit(fair))).cast("int").alias("parts"))
+    over = sizes.select("r", one_key.alias("one_key"), F.when(F.col("bytes") <= least, 1).otherwise(F.ceil(F.col("bytes") / F.lit(fair))).cast("int").alias("parts"))
     split = F.when(F.col("one_key"), F.xxhash64("doc_id", F.lit(5))).otherwise(F.xxhash64("key", F.lit(5)))
     cells = ranged.join(F.broadcast(over), "r").withColumn("p", F.when(F.col("parts") > 1, F.pmod(split, F.col("parts"))).otherwise(F.lit(0)).cast("int"))
     parts = cells.groupBy("r", "p").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).toPandas().sort_values(["r", "p"])
-    middle = parts.bytes.cumsum() - parts.bytes / 2
-    parts["shard"] = np.minimum(shards - 1, (middle * shards / max(1, total)).astype(int))
+    parts["shard"] = deal_out(parts.bytes.to_numpy(np.float64), shards, fair)
     parts["before"] = parts.groupby("shard").n.cumsum() - parts.n
     # one row for each part, bounded like the ranges
     deal = docs.sparkSession.createDataFrame(parts[["r", "p", "shard", "before"]].astype({"r": int, "p": int, "shard": int, "before": int}), "r int, p int, shard int, before long")
