@@ -246,8 +246,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def predict(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, held_out, lang_pred, score``.
 
-    The whole text is read and nothing but the text.  Without text or letters, or where no
-    language was learned, ``lang_pred`` is ``und`` and the score 0.  Ids may be null (not held
+    The whole text, however long, is read and nothing but the text.  Of languages with equal
+    probabilities the first by name is given.  Without text or letters, or where no language
+    was learned, ``lang_pred`` is ``und`` and the score 0.  Ids may be null (not held
     out) or repeat; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -275,7 +276,11 @@ def decide(net: Network, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def accepted(docs: DataFrame, net: Network, text_col: str = "text", min_score: float = 0.35) -> DataFrame:
-    """The rows of ``docs``, all their columns, whose text has a language with at least ``min_score``."""
+    """The rows of ``docs``, all their columns, whose text has a language with at least ``min_score``.
+
+    Null and empty texts and texts without letters go; very long ones are read whole; repeated
+    rows and null ids are judged by their texts alone; an empty table gives no rows.
+    """
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(net)
 

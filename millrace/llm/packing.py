@@ -11,6 +11,7 @@ length: no text and no token is shuffled.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -26,8 +27,8 @@ from .columns import flat
 from .runtime import settle, ship
 from .token_counts import SPECIAL, around_special, encoder, tokenizer
 
-#: Pieces of one length are ranked in buckets of about so many rows, in at most MOST_BUCKETS buckets.
-BUCKET_ROWS, MOST_BUCKETS = 4096, 4096
+#: Pieces of one length are ranked in buckets of about so many rows or fewer.
+BUCKET_ROWS = 4096
 
 
 def token_pieces(
@@ -145,17 +146,19 @@ def best_fit(counts: dict[int, int], limit: int) -> Patterns:
     return out
 
 
-def local_search(patterns: Patterns, passes: int = 40, steps: int = 60_000) -> int:
+def local_search(patterns: Patterns, passes: int | None = 40, steps: int | None = 60_000) -> int:
     """Exchange pieces between underfull sequences while squared fill rises; returns the steps made.
 
     A donor, emptiest first, gives a piece to a receiver that is at least as full: as a plain
     move into its room, for one smaller piece of the receiver, for two, or two pieces for one
     of the receiver's.  The exchange that leaves the receiver least room is taken, and is made
     for as many like pairs of sequences as there are.  ``passes`` and ``steps`` bound the
-    driver's time; they bound how far the packing is improved, never what is packed.
+    driver's time; they bound how far the packing is improved, never what is packed, and with
+    None for both the search goes on until no exchange helps.
     """
     limit, made = patterns.limit, 0
-    for _ in range(passes):
+    steps = float("inf") if steps is None else steps
+    for _ in itertools.count() if passes is None else range(passes):
         under = sorted((c for c in patterns.held if sum(c) < limit), key=sum)
         # offers[k][s]: receivers that can take s more for what they give back, one piece at most (k = 0) or two (k = 1), by their room
         offers: tuple[dict, dict] = (defaultdict(list), defaultdict(list))
@@ -255,8 +258,8 @@ def pack(pieces: DataFrame, limit: int = 1024) -> DataFrame:
     spark = pieces.sparkSession
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``limit`` rows
     held = spark.sparkContext.broadcast(plan(counts, limit))
-    buckets = int(min(MOST_BUCKETS, max(1, -(-sum(counts.values()) // BUCKET_ROWS))))
-    keyed = pieces.withColumn("b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    buckets = max(1, -(-sum(counts.values()) // BUCKET_ROWS))
+    keyed = pieces.withColumn("b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     base = keyed.groupBy("length", "b").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = base.select("length", "b", before.alias("before"))
@@ -282,8 +285,8 @@ def pack(pieces: DataFrame, limit: int = 1024) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer_path: str, limit: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Pieces of all documents with their places, one row per piece.
 
-    A null text is empty (one piece with ``end_id`` alone); ids may be null or repeat; other
-    columns are ignored; an empty table gives no rows.
+    A null text is empty (one piece with ``end_id`` alone); very long texts are cut, never
+    shortened; ids may be null or repeat; other columns are ignored; an empty table gives no rows.
     """
     return pack(settle(token_pieces(docs, tokenizer_path, limit, end_id, id_col, text_col, keep_ids), "pieces"), limit)
 

@@ -59,3 +59,14 @@ def test_stages_on_odd_rows(spark, odd_docs):
     near = Counter(r.doc_id for r in pipeline.near(spark, docs, SF).collect())
     assert near[5] == 1 and near[6] == 0
     assert pipeline.packed(spark, docs, SF).count() > 0
+    assert pipeline.packed(spark, docs.limit(0), SF).count() == 0
+
+
+def test_repeated_ids(spark):
+    """Rows that share an id: one text once, different texts each by its own group; rows without an id stay."""
+    rows = [(1, "a b"), (1, "c d"), (2, "a b"), (3, "e f"), (3, "e f"), (None, "a b"), (None, "a b"), (4, None), (5, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    exact = Counter((r.doc_id, r.text) for r in pipeline.exact(spark, docs, SF).collect())
+    assert exact == Counter([(1, "c d"), (2, "a b"), (3, "e f"), (None, "a b"), (None, "a b"), (5, "")])
+    near = Counter((r.doc_id, r.text) for r in pipeline.near(spark, docs, SF).collect())
+    assert near == Counter([(1, "a b"), (1, "c d"), (3, "e f"), (None, "a b"), (None, "a b"), (4, None), (5, "")])
