@@ -42,7 +42,7 @@ PARTS = {
     "day": F.dayofmonth,
     "hour": F.hour,
     "minute": F.minute,
-    "second": F.second,
+    "second": lambda c: F.second(c).cast("double"),
     "millisecond": lambda c: F.floor(F.pmod(micros(c), F.lit(10**6)) / 1000),
     "microsecond": lambda c: F.pmod(micros(c), F.lit(10**6)),
     "nanosecond": lambda c: F.when(c.isNotNull(), F.lit(0)),

@@ -1,6 +1,7 @@
 """Arithmetic and mathematics on Columns.
 
-Division and remainder are guarded, so they behave alike in ANSI and other sessions.
+Division, remainder and overflow of whole numbers are guarded, so they behave alike in ANSI and
+other sessions: what has no value is null.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ UNARY = (
 ).split()
 
 
+#: Sums, differences and products of whole numbers; null where the type does not hold them.
+WHOLE = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}
+
+
 def unary(name: str, c: Column) -> Column:
     """One of :data:`UNARY`."""
     if name not in UNARY:
@@ -29,9 +34,10 @@ def true_div(a: Column, b: Column) -> Column:
 
 
 def floor_div(a: Column, b: Column, integral: bool) -> Column:
-    """Division rounded down; null where the divisor is zero.  Whole numbers are never taken through doubles."""
+    """Division rounded down, a whole number; null where the divisor is zero or the type does not hold it.  Whole numbers are never taken through doubles."""
     if not integral:
-        return F.floor(a.cast("double") / F.when(b != 0, b.cast("double")))
+        q = a.cast("double") / F.when(b != 0, b.cast("double"))
+        return F.when(F.abs(q) < float(1 << 63), F.floor(q))
     x, y = a.cast("long"), F.when(b != 0, b.cast("long"))
     q = F.call_function("div", x, y)
     return F.when((x % y != 0) & ((x < 0) != (y < 0)), q - 1).otherwise(q)

@@ -6,12 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Up to so many rows are put in order in one task; more are ordered in ranges.
 ONE_TASK = 200_000
-#: Ranges of a distributed order, and sampled rows for each.
-RANGES, SAMPLES = 64, 100
+#: Rows of a range of a distributed order, the most ranges, and sampled rows for each.
+RANGE_ROWS, MOST_RANGES, SAMPLES = 250_000, 1024, 30
+#: Rows of a block in which values are shifted.
+SHIFT_ROWS = 100_000
 
 
 class Key:
@@ -54,16 +57,17 @@ def join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], how:
 
 
 def first_of_each(df: DataFrame, on: Sequence[str], order: Sequence[Key]) -> DataFrame:
-    """The first row, by an order, of each value of the fields ``on``.
+    """The first row, by an order, of each value of the fields ``on``; without an order the least row.
 
-    Where the order ascends, the least row of a group is an aggregate, so a group of any size
-    costs one row a task; nulls are marked so that they come last.
+    Where all keys have one direction, the first row of a group is an aggregate, so a group of
+    any size costs one row a task; nulls are marked so that they come last.
     """
-    rank = [F.struct(k.column.isNull(), k.column) for k in order]
     names = df.columns
-    if all(k.ascending for k in order):
+    if not order or len({k.ascending for k in order}) == 1:
+        up = not order or order[0].ascending
+        rank = [F.struct(k.column.isNull() if up else k.column.isNotNull(), k.column) for k in order] or [F.struct(*names)]
         held = df.select(F.struct(*[r.alias(f"o{i}") for i, r in enumerate(rank)]).alias("o"), F.struct(*names).alias("row"), *[F.col(n).alias(f"k{i}") for i, n in enumerate(on)])
-        best = held.groupBy(*[f"k{i}" for i in range(len(on))]).agg(F.min_by("row", "o").alias("row"))
+        best = held.groupBy(*[f"k{i}" for i in range(len(on))]).agg((F.min_by if up else F.max_by)("row", "o").alias("row"))
         return best.select("row.*")
     w = Window.partitionBy(*on).orderBy(*[k.sort for k in order])
     return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
@@ -81,28 +85,39 @@ def _at_or_after(order: Sequence[Key], values: Sequence) -> Column:
     return out
 
 
+def row_hash(df: DataFrame, seed: int = 0) -> Column:
+    """A hash of the whole row (but for maps, which have none)."""
+    return F.xxhash64(F.lit(seed), *[F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))])
+
+
 def with_ordinal(df: DataFrame, order: Sequence[Key], name: str = "ordinal", one_task: int = ONE_TASK) -> DataFrame:
-    """Rows numbered from 0 in an order.
+    """Rows numbered from 0 in an order; rows that tie in it come by a hash of the whole row.
 
     A small table (its rows are counted) is numbered in one task.  Otherwise a bounded sample
-    gives splitters of the order, rows are numbered within ranges, and the counts of the
-    ranges, one row for each, are added up; no task holds more than a range.  The order must
-    tell rows apart for the numbers to be the same each time.
+    gives splitters of the order, as many as the rows ask for; rows are numbered within ranges,
+    and the counts of the ranges, one row for each, are added up.  A row finds its range by
+    halving, and no task holds more than a range.
     """
     rows = df.count()
+    order = [*order, Key(row_hash(df))]
     if rows <= one_task:
         return df.withColumn(name, (F.row_number().over(Window.orderBy(*[k.sort for k in order])) - 1).cast("long"))
+    ranges = min(MOST_RANGES, max(8, rows // RANGE_ROWS))
     probe = df.select(*[k.column.alias(f"k{i}") for i, k in enumerate(order)])
     ranked = [Key(f"k{i}", k.ascending).sort for i, k in enumerate(order)]
-    seen = probe.sample(min(1.0, RANGES * SAMPLES / rows), seed=7).limit(4 * RANGES * SAMPLES).orderBy(*ranked).collect()
-    cuts = dict.fromkeys(tuple(seen[i * len(seen) // RANGES]) for i in range(1, RANGES)) if seen else {}
-    after = F.lit(0)
-    for cut in cuts:
-        after = after + _at_or_after(order, cut).cast("int")
-    ranged = df.withColumn("__range", after)
+    seen = probe.sample(min(1.0, ranges * SAMPLES / rows), seed=7).limit(4 * ranges * SAMPLES).orderBy(*ranked).collect()
+    cuts = list(dict.fromkeys(tuple(seen[i * len(seen) // ranges]) for i in range(1, ranges))) if seen else []
+
+    def place_of(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        middle = (lo + hi) // 2
+        return F.when(_at_or_after(order, cuts[middle]), place_of(middle + 1, hi)).otherwise(place_of(lo, middle))
+
+    ranged = df.withColumn("__range", place_of(0, len(cuts)))
     counts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    before = counts.select("__range", before.alias("__before"))  # at most RANGES rows
+    before = counts.select("__range", before.alias("__before"))  # at most MOST_RANGES rows
     place = F.row_number().over(Window.partitionBy("__range").orderBy(*[k.sort for k in order])) - 1
     numbered = ranged.withColumn("__place", place).join(F.broadcast(before), "__range")
     return numbered.withColumn(name, (F.col("__before") + F.col("__place")).cast("long")).drop("__range", "__place", "__before")
@@ -115,10 +130,11 @@ def tail(df: DataFrame, n: int, order: Sequence[Key]) -> DataFrame:
 
 def slice_rows(df: DataFrame, start: int | None, stop: int | None, step: int | None, order: Sequence[Key]) -> DataFrame:
     """Python's ``rows[start:stop:step]`` in an order."""
-    if (step or 1) == 1 and (start or 0) >= 0 and (stop is None or stop >= 0):
-        out = df.orderBy(*[k.sort for k in order])
-        out = out.offset(start) if start else out
-        return out if stop is None else out.limit(max(0, stop - (start or 0)))
+    if (step or 1) == 1 and not start and stop is None:
+        return df.orderBy(*[k.sort for k in order])
+    if (step or 1) == 1 and (start or 0) >= 0 and stop is not None and 0 <= stop <= ONE_TASK:
+        out = df.orderBy(*[k.sort for k in order]).limit(stop)  # a top-k
+        return out.offset(start) if start else out
     lo, hi, by = slice(start, stop, step).indices(df.count())
     at = F.col("__at")
     numbered = with_ordinal(df, order, "__at")
@@ -137,21 +153,43 @@ def take_rows(df: DataFrame, places: Sequence[int], order: Sequence[Key]) -> Dat
     return with_ordinal(df, order, "__at").join(F.broadcast(asked), "__at").orderBy("__out").drop("__at", "__out")
 
 
-def sample(df: DataFrame, n: int | None, frac: float | None, seed: int) -> DataFrame:
-    """Exactly ``n`` rows, or the share ``frac`` of them rounded half up, without replacement."""
+def sample(df: DataFrame, n: int | None, frac: float | None, seed: int, one_task: int = ONE_TASK) -> DataFrame:
+    """Exactly ``n`` rows, or the share ``frac`` of them rounded half up, without replacement.
+
+    The rows come first in the order of a seeded hash of the whole row: a few by a top-k, many
+    by their numbers in that order, which no single task works out.
+    """
     if n is None:
         n = int(frac * df.count() + 0.5)
-    return df.orderBy(F.rand(seed)).limit(n)
+    chance = row_hash(df, seed + 1)
+    if n <= one_task:
+        return df.orderBy(chance, F.rand(seed)).limit(n)
+    return with_ordinal(df, [Key(chance)], "__at", one_task).filter(F.col("__at") < n).drop("__at")
 
 
-def shift(df: DataFrame, column: str, n: int, order: Sequence[Key], one_task: int = ONE_TASK) -> DataFrame:
-    """``df`` with ``column`` replaced by its value ``n`` rows before in an order.
+def shifts(df: DataFrame, moved: Sequence[tuple[str, Column, int]], order: Sequence[Key], one_task: int = ONE_TASK, block: int = SHIFT_ROWS) -> DataFrame:
+    """``df`` with columns ``(name, column, n)`` beside it: the column's value ``n`` rows before in an order.
 
-    Beyond ``one_task`` rows the rows are numbered in ranges and joined with themselves by
-    number, so that no task needs the whole table.
+    Beyond ``one_task`` rows they are numbered in ranges and cut into blocks by their numbers;
+    the rows at the edge of a block also go to its neighbour, so that no task needs more than
+    a block and nothing is joined.
     """
     if df.count() <= one_task:
-        return df.withColumn(column, F.lag(column, n).over(Window.orderBy(*[k.sort for k in order])))
-    numbered = with_ordinal(df, order, "__at", one_task)
-    moved = numbered.select((F.col("__at") + n).alias("__at"), F.col(column).alias("__moved"))
-    return numbered.drop(column).join(moved, "__at", "left").withColumnRenamed("__moved", column).select(*df.columns)
+        w = Window.orderBy(*[k.sort for k in order], row_hash(df).asc())
+        return df.select("*", *[F.lag(c, n).over(w).alias(name) for name, c, n in moved])
+    back, ahead = max(0, *[n for _, _, n in moved]), max(0, *[-n for _, _, n in moved])
+    size = max(block, back, ahead)
+    held = with_ordinal(df.select("*", *[c.alias(name) for name, c, _ in moved]), order, "__at", one_task)
+    inside = F.pmod("__at", F.lit(size))
+    to = F.array_compact(F.array(F.lit(0), F.when(inside >= size - back, 1), F.when(inside < ahead, -1)))
+    dealt = held.select("*", F.explode(to).alias("__to")).withColumn("__block", F.floor(F.col("__at") / size) + F.col("__to"))
+    w = Window.partitionBy("__block").orderBy("__at")
+    kept = [F.col(f"`{n}`") for n in df.columns]
+    out = dealt.select(*kept, "__to", *[F.lag(name, n).over(w).alias(name) for name, _, n in moved])
+    return out.filter("__to = 0").drop("__to")
+
+
+def shift(df: DataFrame, column: str, n: int, order: Sequence[Key], one_task: int = ONE_TASK, block: int = SHIFT_ROWS) -> DataFrame:
+    """``df`` with ``column`` replaced by its value ``n`` rows before in an order."""
+    out = shifts(df, [("__moved", F.col(f"`{column}`"), n)], order, one_task, block)
+    return out.select(*[F.col("__moved").alias(c) if c == column else F.col(f"`{c}`") for c in df.columns])

@@ -16,7 +16,7 @@ from ..functions import dates, maths, reductions, strings
 from ..operators import relational
 from ..operators.relational import Key
 from . import types
-from .expr import ELEMENTWISE, Bound, Expr, root
+from .expr import ALIGNED, ELEMENTWISE, Bound, Expr, root
 from .types import FLOATS, ForeignKey, Record, is_, is_integral
 
 #: What an expression of one column without a name is called in its DataFrame.
@@ -24,6 +24,10 @@ VALUE = "value"
 ROW_OPS: dict[str, Callable[[Lowering, Expr], DataFrame]] = {}
 
 
+class NoOrder(ValueError):
+    """Rows are asked for by place but have no order."""
+
+
 def lowering(op: str):
     """Register how an operation with rows becomes a DataFrame."""
 
@@ -39,7 +43,8 @@ class Lowering:
 
     def __init__(self, spark: SparkSession, scope: list[tuple[Expr, DataFrame]] = ()):
         self.spark, self.scope = spark, list(scope)
-        self.followed: set[int] = set()
+        #: Shifts that stand beside the rows they are aligned with, and their columns' names.
+        self.moved: list[tuple[Expr, str]] = []
 
     # -- rows ------------------------------------------------------------------------------
     def frame(self, e: Expr) -> DataFrame:
@@ -49,7 +54,7 @@ class Lowering:
                 return df
         if not e.dims and e.op != "slice":
             return self._single(e)
-        if e.op in ELEMENTWISE:
+        if e.op in ALIGNED:
             df = self._root_frame(e)
             return df.select(*self._named(e))
         if e.op not in ROW_OPS:
@@ -62,18 +67,40 @@ class Lowering:
             names, parts = e.args[:2]
             df, put = self._reduced(parts)
             return df.agg(*[put(p).alias(n) for n, p in zip(names, parts, strict=True)])
-        if any(t.op in ("reduce", "summary") for t in e.subterms()):
-            if e.op == "field":
-                return self.frame(e.args[0]).select(e.args[1])
+        parts = _single_parts(e)
+        if e.op == "field" and e.args[0].op not in ELEMENTWISE:  # of one record: a summary, or a row taken by its place
+            return self.frame(e.args[0]).select(F.col(f"`{e.args[1]}`"))
+        if _one_root(parts):
             df, put = self._reduced((e,))
             return df.agg(put(e).alias(e._name or VALUE))
-        return self.spark.range(1).select(self.column(e).alias(e._name or VALUE))
-
-    def _root_frame(self, e: Expr) -> DataFrame:
-        base = root(e)
-        if base.op == "link" and any(t.op == "deref" for t in e.subterms()):
-            return _linked(self, base)
-        return self.frame(base)
+        return self.spark.range(1).select(self._of_parts(e).alias(e._name or VALUE))
+
+    def _of_parts(self, e: Expr) -> Column:
+        """A single value whose parts are taken of different rows: a scalar subquery for each run of them over the same rows."""
+        if e.op not in ELEMENTWISE or _one_root(_single_parts(e)) or e.op == "field" and e.args[0].op not in ELEMENTWISE:
+            return F.lit(e.args[0]) if e.op == "literal" else self.frame(e).scalar()
+        return self._combine(e, self._of_parts)
+
+    def _root_frame(self, *es: Expr) -> DataFrame:
+        """The rows that expressions are aligned with, and their shifts beside them."""
+        es = [e for e in es if e.dims] or list(es)
+        base = root(es[0])
+        linked = base.op == "link" and any(t.op == "deref" for e in es for t in e.subterms())
+        df = _linked(self, base) if linked else self.frame(base)
+        wanted: list[Expr] = []
+        for x in (x for e in es for x in _shifts(e)):
+            if not any(x.isidentical(w) for w in wanted):
+                wanted.append(x)
+        if not wanted:
+            return df
+        df, keys, _ = (df, self.order(base), None) if linked else _keyed(self, base)
+        while wanted:  # a shift of a shift comes after it
+            ready = [x for x in wanted if not any(y.isidentical(w) for y in _shifts(x.args[0]) for w in wanted)]
+            named = [(x, f"__shift{len(self.moved) + i}") for i, x in enumerate(ready)]
+            df = relational.shifts(df, [(n, self.column(x.args[0]), x.args[1]) for x, n in named], keys)
+            self.moved += named
+            wanted = [x for x in wanted if not any(x is r for r in ready)]
+        return df
 
     def _named(self, e: Expr) -> list[Column]:
         got = self.columns(e)
@@ -81,15 +108,10 @@ class Lowering:
             return [c.alias(n) for n, c in got.items()]
         return [got.alias(e._name or VALUE)]
 
-    def _reduced(self, parts) -> tuple[DataFrame, Callable[[Expr], Column]]:
+    def _reduced(self, parts, *more: Expr) -> tuple[DataFrame, Callable[[Expr], Column]]:
         """The rows that reductions are taken of, and what turns an expression of them into an aggregate."""
-        first = next(t for p in parts for t in p.subterms() if t.op == "reduce")
-        below = first.args[1]
-        return self._root_frame_of([t.args[1] for p in parts for t in p.subterms() if t.op == "reduce"], below), lambda p: self._aggregate(p, root(below))
-
-    def _root_frame_of(self, es: list[Expr], one: Expr) -> DataFrame:
-        follow = next((e for e in es if any(t.op == "deref" for t in e.subterms())), one)
-        return self._root_frame(follow)
+        below = [t.args[1] for p in parts for t in _single_parts(p)]
+        return self._root_frame(*below, *more), lambda p: self._aggregate(p, root(below[0]))
 
     def _aggregate(self, e: Expr, base: Expr) -> Column:
         """An expression of reductions over ``base`` as an aggregate Column."""
@@ -119,6 +141,8 @@ class Lowering:
         """The Column of ``e`` over its root's DataFrame; of a table, its Columns by name."""
         if e.op == "literal":
             return F.lit(e.args[0])
+        if e.op == "shift" and e.dims and not any(e.isidentical(leaf) for leaf, _ in self.scope):
+            return F.col(next(n for x, n in reversed(self.moved) if x.isidentical(e)))
         if e.dims and (e.op not in ELEMENTWISE or any(e.isidentical(leaf) for leaf, _ in self.scope)):
             if isinstance(e.measure, Record):
                 return {n: F.col(f"`{n}`") for n in e.measure.names}
@@ -208,7 +232,10 @@ class Lowering:
     def _binary(self, e, get):
         op, a, b = e.args
         x, y = get(a), get(b)
+        whole = is_integral(e.measure) and op in maths.WHOLE
         m, n = (t.measure.key if isinstance(t.measure, ForeignKey) else t.measure for t in (a, b))
+        if whole:
+            return maths.WHOLE[op](x, y)
         if op == "+":
             return F.concat(x, y) if is_(m, "string") else x + y
         if op == "-":
@@ -243,7 +270,7 @@ class Lowering:
         if op == "not":
             return ~c
         if op == "neg":
-            return -c
+            return F.try_subtract(F.lit(0).cast(types.to_spark(e.measure)), c) if is_integral(e.measure) else -c
         if op == "isnan":
             return maths.is_missing(c, is_(a.measure, *FLOATS))
         if op == "notnull":
@@ -297,7 +324,7 @@ class Lowering:
             return [Key(n) for n in e.args[0].order]
         if e.op in ELEMENTWISE or e.op in ("select", "head", "tail", "slice", "sample", "shift", "link"):
             return self.order(e.args[-1] if e.op in ("binary",) and not e.args[1].dims else next(i for i in e.inputs if i.dims))
-        raise ValueError("these rows have no order: sort them first, or bind the data with order=")
+        raise NoOrder("these rows have no order: sort them first, or bind the data with order=")
 
     def _sort_keys(self, e: Expr) -> list[Key]:
         t, keys, ascending = e.args
@@ -307,6 +334,28 @@ class Lowering:
         return [Key(self.column(k) if isinstance(k, Expr) else k, ascending) for k in names]
 
 
+def _single_parts(e: Expr) -> list[Expr]:
+    """What a single value is made of, element by element: reductions, summaries and rows taken by place."""
+    if e.op in ELEMENTWISE:
+        return [x for i in e.inputs for x in _single_parts(i)]
+    return [] if e.op == "literal" else [e]
+
+
+def _one_root(parts: list[Expr]) -> bool:
+    """Whether the parts are reductions of the same rows."""
+    if not parts or any(p.op != "reduce" for p in parts):
+        return False
+    first = root(parts[0].args[1])
+    return all(root(p.args[1]).isidentical(first) for p in parts[1:])
+
+
+def _shifts(e: Expr) -> list[Expr]:
+    """The shifts among what is aligned with the rows of ``e``, inner ones first."""
+    if e.op not in ALIGNED:
+        return []
+    return [x for i in e.inputs for x in _shifts(i)] + [e] * (e.op == "shift")
+
+
 def _linked(low: Lowering, e: Expr) -> DataFrame:
     """The rows of a linked table that point somewhere, with the target's fields as ``column.field``."""
     t, column, target, key = e.args
@@ -339,7 +388,7 @@ def _link(low: Lowering, e: Expr) -> DataFrame:
 @lowering("select")
 def _select(low: Lowering, e: Expr) -> DataFrame:
     t, pred = e.args
-    base = low._root_frame(pred if any(x.op == "deref" for x in pred.subterms()) else t)
+    base = low._root_frame(t, pred)
     return base.filter(low.column(pred)).select(*low._named(t))
 
 
@@ -362,9 +411,7 @@ def _concat(low: Lowering, e: Expr) -> DataFrame:
 @lowering("by")
 def _by(low: Lowering, e: Expr) -> DataFrame:
     grouper, names, parts = e.args
-    df, put = low._reduced((*parts,))
-    if any(t.op == "deref" for t in grouper.subterms()):
-        df = low._root_frame(grouper)
+    df, put = low._reduced((*parts,), grouper)
     return df.groupBy(*low._named(grouper)).agg(*[put(p).alias(n) for n, p in zip(names, parts, strict=True)])
 
 
@@ -383,7 +430,7 @@ def _sort(low: Lowering, e: Expr) -> DataFrame:
     t = e.args[0]
     keys = low._sort_keys(e)
     if any(isinstance(k, Expr) for k in e.args[1]):
-        return low._root_frame(t).orderBy(*[k.sort for k in keys]).select(*low._named(t))
+        return low._root_frame(t, *(k for k in e.args[1] if isinstance(k, Expr))).orderBy(*[k.sort for k in keys]).select(*low._named(t))
     return low.frame(t).orderBy(*[k.sort for k in keys])
 
 
@@ -425,22 +472,16 @@ def _sample(low: Lowering, e: Expr) -> DataFrame:
     return relational.sample(low.frame(t), n, frac, seed)
 
 
-@lowering("shift")
-def _shift(low: Lowering, e: Expr) -> DataFrame:
-    t, n = e.args
-    df, keys, names = _keyed(low, t)
-    # the column may be a key itself, so what moves is a copy
-    df = df.withColumn("__moved", F.col(f"`{names[0]}`"))
-    return relational.shift(df, "__moved", n, keys).select(F.col("__moved").alias(names[0]))
-
-
 @lowering("distinct")
 def _distinct(low: Lowering, e: Expr) -> DataFrame:
     t, on = e.args
     if not on:
         return low.frame(t).distinct()
-    df, keys, names = _keyed(low, t)
-    return relational.first_of_each(df, on, keys).select(*names)
+    try:
+        df, keys, names = _keyed(low, t)
+    except NoOrder:
+        df, keys, names = low.frame(t), [], t.fields
+    return relational.first_of_each(df, on, keys).select(*[f"`{n}`" for n in names])
 
 
 @lowering("apply")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 
@@ -148,6 +149,24 @@ def arithmetic_of_reductions(t):
     return m.summary(spread=p.max() - p.min())
 
 
+@query("SELECT round((count(*) FILTER (o_totalprice > 100000)) / count(*), 9) AS share FROM orders", 9, ("share",))
+def share_of_rows(t):
+    o = t.orders
+    return (o[o.o_totalprice > 100000].o_orderkey.count() / o.o_orderkey.count()).label("share")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT max(o_totalprice) FROM orders) - (SELECT avg(o_totalprice) FROM orders WHERE o_custkey % 2 = 0)")
+def selection_by_two_reductions(t):
+    o = t.orders
+    return o[o.o_totalprice > o.o_totalprice.max() - o[o.o_custkey % 2 == 0].o_totalprice.mean()].o_orderkey
+
+
+@query("SELECT round(stddev_pop(epoch_us(ts) / 1e6), 2) AS sd, round(avg(epoch_us(ts) / 1e6 - 946684800), 2) AS mean FROM events", 2, ("sd", "mean"))
+def moments_of_time_differences(t):
+    d = t.events.ts - dt.datetime(2000, 1, 1)
+    return m.summary(sd=d.std().dt.total_seconds(), mean=d.mean().dt.total_seconds())
+
+
 # -- projection and columns ------------------------------------------------------------------
 @query("SELECT c_name, c_acctbal FROM customer")
 def projection(t):
@@ -244,6 +263,13 @@ def isnan_and_null(t):
     return m.merge(x.k, missing=x.v.isnan())
 
 
+@query("SELECT k, v IS NOT NULL AS there FROM (SELECT o_orderkey AS k, nullif(o_orderstatus, 'F') AS v FROM orders)")
+def notnull(t):
+    df = t.spark.read.parquet(f"{t.folder}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.nullif(F.col("o_orderstatus"), F.lit("F")).alias("v"))
+    x = m.data(df, spark=t.spark)
+    return m.merge(x.k, there=x.v.notnull())
+
+
 # -- joins and concatenation -----------------------------------------------------------------
 @query("SELECT c.c_custkey, c.c_name, n.n_name FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey")
 def join_differing_keys(t):
@@ -272,6 +298,17 @@ def join_outer_of_groups(t):
     return m.join(a, b, "k", how="outer")
 
 
+@query(
+    """WITH a AS (SELECT nullif(c_nationkey, 3) AS k, c_custkey FROM customer), b AS (SELECT nullif(n_nationkey, 3) AS k, n_name FROM nation)
+    SELECT coalesce(a.k, b.k) AS k, c_custkey, n_name FROM a FULL JOIN b ON a.k = b.k"""
+)
+def join_null_keys(t):
+    """Null keys match nothing and are kept by an outer join."""
+    null = lambda name, key: F.nullif(F.col(key), F.lit(3)).alias("k")
+    read = lambda name, key, rest: m.data(t.spark.read.parquet(f"{t.folder}/{name}.parquet").select(null(name, key), rest), spark=t.spark)
+    return m.join(read("customer", "c_nationkey", "c_custkey"), read("nation", "n_nationkey", "n_name"), "k", how="outer")
+
+
 @query("SELECT a.n_regionkey, a.n_name AS n_name_left, b.n_name AS n_name_right FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
 def join_self(t):
     n = t.nation[["n_name", "n_regionkey"]]
@@ -349,10 +386,19 @@ def slice_list(t):
 @query("SELECT event_id, lag(value, 2) OVER (ORDER BY event_id) AS before FROM events")
 def shift_back(t):
     e = t.events
-    df = m.frame(e[["event_id", "value"]], spark=t.spark)
-    from .operators.relational import Key, shift
+    return m.merge(e.event_id, before=e.value.shift(2))
+
+
+@query("SELECT event_id, round(value - lag(value, 1) OVER (ORDER BY event_id), 6) AS rise, lead(value, 1) OVER (ORDER BY event_id) AS after FROM events", 6, ("rise",))
+def shift_difference(t):
+    e = t.events
+    return m.merge(e.event_id, rise=e.value - e.value.shift(1), after=e.value.shift(-1))
+
 
-    return shift(df, "value", 2, [Key("event_id")]).withColumnRenamed("value", "before")
+@query("SELECT event_id FROM (SELECT event_id, value, lag(value, 1) OVER (ORDER BY event_id) AS p FROM events) WHERE value > p")
+def selection_by_shift(t):
+    e = t.events
+    return e[e.value > e.value.shift(1)].event_id
 
 
 @query("SELECT lead(n_name, 1) OVER (ORDER BY n_nationkey) AS n_name FROM nation")
@@ -360,6 +406,20 @@ def shift_ahead(t):
     return t.nation.n_name.shift(-1)
 
 
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey OFFSET 40")
+def slice_open(t):
+    return t.orders[["o_orderkey", "o_custkey"]][40:]
+
+
+@query("SELECT least(100, count(*))::BIGINT AS drawn, least(100, count(*))::BIGINT AS different, least(100, count(*))::BIGINT AS members FROM orders")
+def sample_members(t):
+    """Drawn rows are different rows of the table."""
+    o = t.orders[["o_orderkey", "o_totalprice"]]
+    drawn = m.frame(o.sample(n=100, seed=5), spark=t.spark)
+    found = drawn.join(m.frame(o, spark=t.spark), ["o_orderkey", "o_totalprice"], "left_semi")
+    return drawn.agg(F.count(F.lit(1)).alias("drawn"), F.count_distinct("o_orderkey").alias("different")).join(found.agg(F.count(F.lit(1)).alias("members")))
+
+
 @query("SELECT least(100, count(*))::BIGINT AS n FROM orders")
 def sample_n(t):
     return m.frame(t.orders.sample(n=100, seed=3).nrows, spark=t.spark).toDF("n")
@@ -381,6 +441,17 @@ def distinct_on(t):
     return t.orders[["o_custkey", "o_orderkey"]].distinct("o_custkey")
 
 
+@query("SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")
+def distinct_on_any(t):
+    df = t.spark.read.parquet(f"{t.folder}/orders.parquet").select("o_custkey", "o_orderkey")
+    return m.data(df, spark=t.spark).distinct("o_custkey")
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey DESC) AS i FROM orders) WHERE i = 1")
+def distinct_on_descending(t):
+    return t.orders.sort(["o_totalprice", "o_orderkey"], ascending=False).distinct("o_custkey")[["o_custkey", "o_orderkey"]]
+
+
 # -- arithmetic and mathematics --------------------------------------------------------------
 @query("SELECT o_orderkey, o_custkey * 2 - 7 AS a, o_totalprice / 3 AS b, CAST(floor(-o_custkey / 7.0) AS BIGINT) AS c, ((-o_custkey % 7) + 7) % 7 AS d, -o_custkey AS e, pow(o_custkey, 2)::DOUBLE AS f FROM orders", 6, ("b",))
 def arithmetic(t):
@@ -454,23 +525,6 @@ def _said(c: Expr) -> Expr:
     return m.merge(c.c_name, c.c_custkey).map(lambda name, key: f"{name}/{key}", "string", name="said")
 
 
-@query(
-    """SELECT doc_id, regexp_full_match(w, '[\\p{L}\\p{N}]+') AS isalnum, regexp_full_match(w, '\\p{L}+') AS isalpha, regexp_full_match(w, '\\p{N}+') AS isnumeric, w <> '' AND lower(w) = w AND upper(w) <> w AS islower,
-    w <> '' AND upper(w) = w AND lower(w) <> w AS isupper, regexp_full_match(w, '\\s+') AS isspace FROM (SELECT doc_id, substr(text, 1, 3) AS w FROM documents)"""
-)
-def string_predicates(t):
-    d = t.documents
-    w = d.text.str[:3].str
-    return m.merge(d.doc_id, isalnum=w.isalnum(), isalpha=w.isalpha(), isnumeric=w.isnumeric(), islower=w.islower(), isupper=w.isupper(), isspace=w.isspace())
-
-
-@query("SELECT doc_id, trim(w, chr(10) || chr(9) || ' ') AS both, ltrim(w, chr(10) || chr(9) || ' ') AS left_, rtrim(w, chr(10) || chr(9) || ' ') AS right_ FROM (SELECT doc_id, '  ' || chr(9) || substr(text, 1, 8) || chr(10) AS w FROM documents)")
-def string_strip(t):
-    d = t.documents
-    w = ("  \t" + d.text.str[:8] + "\n").str
-    return m.merge(d.doc_id, both=w.strip(), left_=w.lstrip(), right_=w.rstrip())
-
-
 #: Python's white space, spelled for a DuckDB regular expression.
 _WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _ASKED = (
@@ -506,9 +560,38 @@ def string_strip_whole(t):
     return m.merge(d.doc_id, own=d.text.str.strip(), both=w.strip(), left_=w.lstrip(), right_=w.rstrip())
 
 
+@query("SELECT c_custkey, c_mktsegment || ': ' || c_custkey || ' of ' || c_name AS said, c_name || ' %' AS plain FROM customer")
+def interp(t):
+    c = t.customer
+    return m.merge(c.c_custkey, said=(c.c_mktsegment + ": %d of %s") % (c.c_custkey, c.c_name), plain=(c.c_name + " %s").interp("%"))
+
+
+@query("SELECT c_custkey, regexp_replace(regexp_replace(c_name, '0', 'o'), '0', 'o') AS twice, replace(c_name, '0', '') AS all_ FROM customer")
+def replace_some(t):
+    c = t.customer
+    return m.merge(c.c_custkey, twice=c.c_name.str.replace("0", "o", 2), all_=c.c_name.str.replace("0", ""))
+
+
+@query(
+    """SELECT c_custkey, regexp_full_match(w, '[0-9]+') AS isdecimal, regexp_full_match(w, '[0-9]+') AS isdigit, regexp_full_match(w, '[^A-Za-z]*([A-Z][a-z]*([^A-Za-z]+|$))+') AS istitle
+    FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_custkey::VARCHAR WHEN 1 THEN c_name ELSE c_mktsegment END AS w FROM customer)"""
+)
+def string_predicates_more(t):
+    k = F.col("c_custkey")
+    w = F.when(k % 3 == 0, k.cast("string")).when(k % 3 == 1, F.col("c_name")).otherwise(F.col("c_mktsegment"))
+    c = m.data(t.spark.read.parquet(f"{t.folder}/customer.parquet").select("c_custkey", w.alias("w")), spark=t.spark)
+    return m.merge(c.c_custkey, **{n: getattr(c.w.str, n)() for n in ("isdecimal", "isdigit", "istitle")})
+
+
+@query("SELECT event_id, 0::BIGINT AS nano FROM events")
+def nanosecond(t):
+    e = t.events
+    return m.merge(e.event_id, nano=e.ts.dt.nanosecond)
+
+
 # -- dates -----------------------------------------------------------------------------------
 @query(
-    """SELECT event_id, ts::DATE AS date, year(ts)::BIGINT AS year, month(ts)::BIGINT AS month, day(ts)::BIGINT AS day, hour(ts)::BIGINT AS hour, minute(ts)::BIGINT AS minute, second(ts)::BIGINT AS second,
+    """SELECT event_id, ts::DATE AS date, year(ts)::BIGINT AS year, month(ts)::BIGINT AS month, day(ts)::BIGINT AS day, hour(ts)::BIGINT AS hour, minute(ts)::BIGINT AS minute, second(ts)::DOUBLE AS second,
     (epoch_us(ts) % 1000000) // 1000 AS millisecond, epoch_us(ts) % 1000000 AS microsecond, weekofyear(ts)::BIGINT AS week, dayofyear(ts)::BIGINT AS dayofyear, (isodow(ts) - 1)::BIGINT AS dayofweek,
     dayname(ts) AS weekday_name, quarter(ts)::BIGINT AS quarter, day(last_day(ts))::BIGINT AS daysinmonth, day(ts) = 1 AS is_month_start, ts::DATE = last_day(ts) AS is_month_end,
     ts::DATE = date_trunc('quarter', ts)::DATE AS is_quarter_start, ts::DATE = (date_trunc('quarter', ts) + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE AS is_quarter_end,
@@ -557,8 +640,6 @@ def from_timestamp(t):
 
 @query("SELECT event_id, (epoch_us(ts) - 946684800000000) // 86400000000 AS days, ((epoch_us(ts) - 946684800000000) % 86400000000) // 1000000 AS seconds, (epoch_us(ts) - 946684800000000) / 1000000.0 AS total, ts + INTERVAL 36 HOUR AS later FROM events", 6, ("total",))
 def time_differences(t):
-    import datetime as dt
-
     e = t.events
     d = e.ts - dt.datetime(2000, 1, 1)
     return m.merge(e.event_id, days=d.dt.days, seconds=d.dt.seconds, total=d.dt.total_seconds(), later=e.ts + dt.timedelta(hours=36))

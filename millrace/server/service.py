@@ -15,6 +15,7 @@ import hashlib
 import io
 import json
 import logging
+import math
 import pstats
 from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -26,6 +27,7 @@ from ..plans.results import Database, data, frame, session
 from ..plans.tree import from_tree, to_tree
 from ..sources import catalog
 
+#: Fixed value: the port that clients expect.
 PORT = 6363
 log = logging.getLogger("millrace.server")
 
@@ -42,8 +44,8 @@ def plain(v: Any) -> Any:
         return base64.b64encode(v).decode()
     if isinstance(v, (list, tuple)):
         return [plain(x) for x in v]
-    if isinstance(v, float) and v != v:
-        return None
+    if isinstance(v, float) and not math.isfinite(v):
+        return None if v != v else str(v)  # JSON has no infinity: "inf" or "-inf"
     return v
 
 

@@ -7,6 +7,8 @@ are read as one table.  ``uri::name`` is the table ``name`` in a database.
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -126,13 +128,26 @@ def _by_connector(spark, uri, **options):
     return _jdbc(spark, f"{jdbc}::{name}", **options)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors see: ``spark.checkpoint.dir``; on one machine a temporary one will do."""
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if there:
+        return there.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="millrace-web-")
+
+
 @opens(r"^(https?|ftp)://.+\.(csv|tsv|json|jsonl|txt)(\.gz)?$")
 def _web(spark, uri, **options):
-    """A file on the web, fetched once by the driver and shipped to the executors."""
-    from pyspark import SparkFiles
-
-    spark.sparkContext.addFile(uri)
-    return READERS[kind_of(uri)](spark, "file://" + SparkFiles.get(uri.rsplit("/", 1)[1]), **options)
+    """A file on the web, fetched once by the driver into the folder that all executors share."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = f"{shared_folder(spark)}/{uuid.uuid4().hex}-{uri.rsplit('/', 1)[1]}"
+    at = jvm.org.apache.hadoop.fs.Path(place)
+    files = at.getFileSystem(conf)
+    jvm.org.apache.hadoop.io.IOUtils.copyBytes(jvm.java.net.URI.create(uri).toURL().openStream(), files.create(at), conf, True)
+    files.deleteOnExit(at)
+    return READERS[kind_of(uri)](spark, place, **options)
 
 
 @opens(r"^millrace://")
