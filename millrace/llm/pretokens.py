@@ -20,6 +20,8 @@ from .columns import SpanMap, blocks, eights, span_keys
 from .words import Numbers
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
+#: Bytes of text that are encoded at a time.
+BLOCK_BYTES = 1 << 20
 #: The code points with the White_Space property.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -142,7 +144,7 @@ class Encoder:
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The number of ids of each row."""
         out = np.zeros(len(offsets) - 1, np.int64)
-        for a, b in blocks(data, offsets):
+        for a, b in blocks(data, offsets, BLOCK_BYTES):
             lo = offsets[a]
             values, rows = self._values(data[lo : offsets[b]], offsets[a : b + 1] - lo)
             if not self.counts_only:
@@ -154,7 +156,7 @@ class Encoder:
 
     def ids(self, data: np.ndarray, offsets: np.ndarray):
         """For each block of rows: its first row, its ids end to end, and the offsets of its rows in them."""
-        for a, b in blocks(data, offsets):
+        for a, b in blocks(data, offsets, BLOCK_BYTES):
             lo = offsets[a]
             values, rows = self._values(data[lo : offsets[b]], offsets[a : b + 1] - lo)
             sizes = values & 0xFFFFFF

@@ -69,14 +69,14 @@ def frequent_lengths(docs: DataFrame, path: str, text_col: str, entries: int, sa
     """Frequent pre-tokens and their token counts, from passages of the rows that come first.
 
     Only the speed of the counts depends on the sample, which is at most ``sample_rows``
-    passages of ``sample_chars`` characters; the rows are not counted for it.
+    passages of ``sample_chars`` characters; neither are the rows counted for it nor is more
+    read than the first partitions that hold so many.
     """
     room = F.greatest(F.length(text_col) - sample_chars, F.lit(0)) + 1
     passage = F.substring(F.col(text_col), (F.pmod(F.xxhash64(text_col), room) + 1).cast("int"), F.lit(sample_chars))
     seen: Counter[str] = Counter()
-    for chunk in docs.select(passage.alias("t")).limit(sample_rows).toArrow().column(0).chunks:
-        data, _ = flat(around_special(chunk)[0])
-        text = data.tobytes().decode()
+    for row in docs.select(passage.alias("t")).take(sample_rows):
+        text = " ".join((row.t or "").split(SPECIAL))
         cp = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         starts, ends = spans(cp, np.array([0, len(cp)]))
         seen.update([text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
