@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 
 def _spread(kind: str, c: Column, unbiased: bool, delta: bool) -> Column:
@@ -44,3 +45,39 @@ def aggregate(op: str, c: Column | None, *, unbiased: bool = False, order=None,
         return _norm(c, order)
     plain = {"sum": F.sum, "min": F.min, "max": F.max, "mean": F.avg, "any": F.bool_or, "all": F.bool_and, "count": F.count, "nunique": F.count_distinct}
     return plain[op](c)
+
+
+def of_array(op: str, a: Column, kind: DataType, *, unbiased: bool = False, order=None) -> Column:
+    """The reduction of an array in each row, of type ``kind``; nulls are skipped, and of nothing sums and the like are null, counts 0."""
+    x = F.filter(a, lambda v: v.isNotNull())
+    n = F.coalesce(F.array_size(x), F.lit(0))
+    total = lambda f, of=x: F.aggregate(of, F.lit(0.0), lambda t, v: t + f(v.cast("double")))
+    some = lambda c: F.when(n > 0, c)
+    if op == "nelements":
+        out = F.coalesce(F.array_size(a), F.lit(0))
+    elif op == "count":
+        out = n
+    elif op == "nunique":
+        out = F.coalesce(F.array_size(F.array_distinct(x)), F.lit(0))
+    elif op in ("min", "max"):
+        out = F.array_min(x) if op == "min" else F.array_max(x)
+    elif op in ("any", "all"):
+        out = some((F.exists if op == "any" else F.forall)(x, lambda v: v))
+    elif op == "sum":
+        out = some(F.aggregate(x, F.lit(0).cast(kind), lambda t, v: (t + v.cast(kind)).cast(kind)))
+    elif op == "mean":
+        out = some(total(lambda v: v) / n)
+    elif op in ("var", "std"):
+        mean = total(lambda v: v) / F.when(n > 0, n)
+        out = total(lambda v: (v - mean) * (v - mean)) / F.when(n > int(bool(unbiased)), n - int(bool(unbiased)))
+        out = F.sqrt(out) if op == "std" else out
+    else:
+        size = F.transform(x, lambda v: F.abs(v.cast("double")))
+        if order in (float("inf"), float("-inf")):
+            out = F.array_max(size) if order > 0 else F.array_min(size)
+        elif order == 0:
+            out = some(total(lambda v: F.when(v != 0, 1.0).otherwise(0.0), size))
+        else:
+            p = 2.0 if order in (None, "fro") else float(order)
+            out = some(F.pow(total(lambda v: F.pow(v, F.lit(p)), size), F.lit(1 / p)))
+    return out.cast(kind)

@@ -52,6 +52,8 @@ class Lowering:
         for leaf, df in self.scope:
             if e.isidentical(leaf):
                 return df
+        if e.op == "reduce" and e.args[1].ndim > 1:
+            return self._across(e)
         if not e.dims and e.op != "slice":
             return self._single(e)
         if e.op in ALIGNED:
@@ -81,6 +83,28 @@ class Lowering:
             return F.lit(e.args[0]) if e.op == "literal" else self.frame(e).scalar()
         return self._combine(e, self._of_parts)
 
+    def _across(self, e: Expr) -> DataFrame:
+        """A reduction of arrays over the rows, and perhaps inner axes: a row for each place of the first axis that is left.
+
+        Elements are exploded with their places and aggregated by those that are left, so that no
+        array but one of the result is ever put together.
+        """
+        op, child, axes, keepdims, options = e.args
+        name, inner = e._name or VALUE, range(1, child.ndim)
+        df = self._root_frame(child).select(self.column(child).alias("__v"))
+        for k in inner:
+            df = df.select(*[f"__i{j}" for j in range(1, k)], F.posexplode("__v").alias(f"__i{k}", "__v"))
+        v = F.col("__v").cast("int") if is_(child.measure, "bool") and op in ("sum", "mean", "var", "std") else F.col("__v")
+        out = reductions.aggregate(op, v, **dict(options))
+        kept = [(f"__i{k}", F.lit(0) if k in axes else F.col(f"__i{k}")) for k in inner if keepdims or k not in axes]
+        if keepdims:
+            kept = [("__i0", F.lit(0)), *kept]
+        cells = df.groupBy(*[c.alias(n) for n, c in kept]).agg(out.cast(types.to_spark(e.measure)).alias("__v"))
+        places = [n for n, _ in kept]
+        for j in range(len(places) - 1, 0, -1):
+            cells = cells.groupBy(*places[:j]).agg(F.sort_array(F.collect_list(F.struct(places[j], "__v"))).getField("__v").alias("__v"))
+        return (cells.orderBy(places[0]) if places else cells).select(F.col("__v").alias(name))
+
     def _root_frame(self, *es: Expr) -> DataFrame:
         """The rows that expressions are aligned with, and their shifts beside them."""
         es = [e for e in es if e.dims] or list(es)
@@ -219,6 +243,28 @@ class Lowering:
 
         return of_value(got)
 
+    def _within(self, e, get):
+        op, child, axes, keepdims, options = e.args
+        kind = types.to_spark(e.measure)
+
+        def at(c: Column, gone: list[bool]) -> Column:
+            if all(gone):
+                for _ in gone[1:]:
+                    c = F.flatten(c)
+                out = reductions.of_array(op, c, kind, **dict(options))
+                for _ in gone if keepdims else ():
+                    out = F.array(out)
+                return out
+            if not gone[0]:
+                return F.transform(c, lambda x: at(x, gone[1:]))
+            if keepdims:
+                raise NotImplementedError("an axis is kept only when all after it go too")
+            # exchange the axis with the next, until nothing but axes that go come after it
+            across = F.transform(F.sequence(F.lit(0), F.array_size(c[0]) - 1), lambda j: F.transform(c, lambda x: F.get(x, j)))
+            return at(across, [gone[1], gone[0], *gone[2:]])
+
+        return at(get(child), [k in axes for k in range(1, child.ndim)])
+
     def _isin(self, e, get):
         child, keys = e.args
         c = get(child)
@@ -343,7 +389,7 @@ def _single_parts(e: Expr) -> list[Expr]:
 
 def _one_root(parts: list[Expr]) -> bool:
     """Whether the parts are reductions of the same rows."""
-    if not parts or any(p.op != "reduce" for p in parts):
+    if not parts or any(p.op != "reduce" or p.args[1].ndim > 1 for p in parts):
         return False
     first = root(parts[0].args[1])
     return all(root(p.args[1]).isidentical(first) for p in parts[1:])

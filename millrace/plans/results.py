@@ -6,11 +6,12 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark import RDD
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import types
-from .expr import Expr, bound
+from .expr import Expr, bound, constant_type
 from .lower import VALUE, Lowering
 from .types import Record, is_
 
@@ -31,6 +32,8 @@ def as_frame(source: Any, spark: SparkSession, measure=None) -> DataFrame:
 
         return resource(source, spark)
     kind = types.to_spark(measure) if isinstance(measure, Record) else None
+    if isinstance(source, RDD):
+        return spark.createDataFrame(source, kind)
     if isinstance(source, pd.DataFrame):
         rows = source.astype(object).where(source.notna(), None)
         return spark.createDataFrame(list(map(tuple, rows.itertuples(index=False, name=None))), kind) if kind else spark.createDataFrame(source)
@@ -167,15 +170,28 @@ def to_html(e: Expr, n: int = 10) -> str:
     return got.head(n).to_html() if isinstance(got, pd.DataFrame) else f"<pre>{got}</pre>"
 
 
-def data(source: Any, dshape: str | None = None, name: str | None = None, fields: list[str] | None = None, order=(), spark: SparkSession | None = None) -> Expr:
-    """A leaf bound to a source; its type is found out unless told.
+def data(source: Any, dshape: str | None = None, name: str | None = None, fields: list[str] | None = None, order=(), spark: SparkSession | None = None, schema: str | None = None) -> Expr:
+    """A leaf bound to a source; its type is found out unless told, as ``dshape`` or as the ``schema`` of its rows.
 
+    An array of two or more dimensions is a column of arrays, or a table if ``fields`` are named.
     ``order`` names columns that put the rows in order for ``tail``, slices and ``shift`` where
     no sort is given.
     """
     if isinstance(source, Expr):
         return source
     spark = spark or session()
+    if schema is not None:
+        if dshape is not None:
+            raise TypeError("give dshape or schema")
+        dshape = f"var * {schema}"
+    if getattr(source, "ndim", 0) > 1 and hasattr(source, "dtype") and hasattr(source, "tolist"):
+        if fields or dshape:
+            source = list(map(tuple, source.tolist()))
+        else:
+            shape, kind = source.shape, constant_type(source.flat[0].item() if source.size else 0.0)
+            kind = types.Scalar(str(source.dtype)) if str(source.dtype) in types.SPARK else kind
+            df = spark.createDataFrame([(r,) for r in source.tolist()], f"`{name or VALUE}` {types.to_spark(types.Nested(shape[1:], kind)).simpleString()}")
+            return bound(df, tuple(shape), kind, name or VALUE, order)
     if isinstance(source, dict) and source and all(isinstance(v, (str, DataFrame)) for v in source.values()):
         return Database({k: data(v, name=k, spark=spark) for k, v in source.items()})
     measure = types.parse(dshape)[1] if dshape else None

@@ -142,7 +142,7 @@ def _build(op: str, args: list) -> Expr:
         return E.join(a, b, list(left), list(right), how, tuple(ends))
     if op == "link":
         return E.link(*args)
-    if op == "reduce":
+    if op in ("reduce", "within"):
         name, e, axes, keepdims, options = args
         return E.reduction(name, e, tuple(axes), keepdims, **dict(options))
     if op in BUILDERS:

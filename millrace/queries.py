@@ -715,6 +715,41 @@ def array_broadcast(t):
     return x.combine(x.reduce("mean", axis=0), lambda a, b: F.round(a - b, 5) + F.lit(0.0)).rows.withColumn("i1", F.col("i1").cast("long"))
 
 
+@query(
+    """SELECT vec_id, round(list_avg(e), 5) AS mean, round(list_sum(e), 4) AS sum, list_max(e)::FLOAT AS top, round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 4) AS norm, round(list_stddev_pop(e), 5) AS std,
+    CAST(len(e) AS BIGINT) AS n FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)""", 5, ("mean", "std"),
+)
+def array_within_rows(t):
+    x = t.embeddings
+    v = x.embedding
+    out = m.merge(x.vec_id, mean=v.mean(axis=1), sum=v.sum(axis=1), top=v.max(axis=-1), norm=v.vnorm(axis=1), std=v.std(axis=1), n=v.count(axis=1))
+    return m.frame(out, spark=t.spark).withColumns({"sum": F.round("sum", 4), "norm": F.round("norm", 4)})
+
+
+@query(f"SELECT round(avg(v), 6) AS embedding_mean FROM {_LONG} GROUP BY i", 6, ("embedding_mean",))
+def array_across_rows(t):
+    return t.embeddings.embedding.mean(axis=0)
+
+
+@query(f"SELECT round(max(v) - min(v), 6) AS spread FROM {_LONG}", 6, ("spread",))
+def array_whole(t):
+    v = t.embeddings.embedding
+    return (v.max().coerce("float64") - v.min().coerce("float64")).label("spread")
+
+
+@query(f"SELECT vec_id AS i0, i AS i1, v FROM {_LONG} WHERE i < 3 UNION ALL SELECT vec_id, i + 3, v FROM {_LONG} WHERE i < 2")
+def array_concat(t):
+    x = _vectors(t)
+    return x[:, 0:3].concat(x[:, 0:2], axis=1).rows.withColumn("i1", F.col("i1").cast("long"))
+
+
+@query(f"SELECT a.i AS i0, b.i AS i1, round(sum(a.v * b.v), 4) AS v FROM {_LONG} a JOIN {_LONG} b USING (vec_id) WHERE a.i < 5 AND b.i < 4 GROUP BY 1, 2", 4, ("v",))
+def array_tensordot(t):
+    x = _vectors(t)
+    out = x[:, 0:5].tensordot(x[:, 0:4], axes=([0], [0])).rows
+    return out.withColumns({"i0": F.col("i0").cast("long"), "i1": F.col("i1").cast("long")})
+
+
 # -- sources, trees, streams -----------------------------------------------------------------
 @query("SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS n FROM customer WHERE c_acctbal > 0 GROUP BY 1")
 def tree_round_trip(t):
