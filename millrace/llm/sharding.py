@@ -83,9 +83,11 @@ def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
     ranges = int(min(MOST_RANGES, max(PER_SHARD * shards, rows // RANGE_ROWS)))
     cuts = splitters(held, total, ranges)
 
+    told_cuts = docs.sparkSession.sparkContext.broadcast(cuts)
+
     @F.pandas_udf("int")
     def range_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, key.to_numpy(), "right").astype(np.int32))
+        return pd.Series(np.searchsorted(told_cuts.value, key.to_numpy(), "right").astype(np.int32))
 
     ranged = held.withColumn("r", range_of("key"))
     fair = max(1.0, total / ranges)
