@@ -791,3 +791,22 @@ def stream_by(t):
 def stream_windows(t):
     out = _streamed(t, lambda s: windows.windowed(s, "ts", "1 hour", ["event_type"], late="1 hour", n=F.count(F.lit(1))))
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
+@query(
+    """SELECT w AS window_start, w + INTERVAL 1 HOUR AS window_end, event_type, CAST(count(*) AS BIGINT) AS n FROM (SELECT event_type, unnest([b, b - INTERVAL 30 MINUTE]) AS w
+    FROM (SELECT event_type, time_bucket(INTERVAL 30 MINUTE, ts, TIMESTAMP '1970-01-01') AS b FROM events)) GROUP BY ALL"""
+)
+def stream_sliding_windows(t):
+    out = _streamed(t, lambda s: windows.windowed(s, "ts", "1 hour", ["event_type"], late="1 hour", slide="30 minutes", n=F.count(F.lit(1))))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
+@query(
+    """WITH e AS (SELECT event_type, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e)
+    SELECT min(ts) AS window_start, max(ts) + INTERVAL 10 MINUTE AS window_end, event_type, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY event_type, g"""
+)
+def stream_sessions(t):
+    out = _streamed(t, lambda s: windows.sessions(s, "ts", "10 minutes", ["event_type"], late="1 hour", n=F.count(F.lit(1))))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})

@@ -29,6 +29,8 @@ from ..sources import catalog
 
 #: Fixed value: the port that clients expect.
 PORT = 6363
+#: Fixed value: the media type of an Arrow stream.
+ARROW = "application/vnd.apache.arrow.stream"
 log = logging.getLogger("millrace.server")
 
 
@@ -84,19 +86,39 @@ class Server:
 
         return say(self.tables)
 
-    def compute(self, body: dict) -> dict:
-        unknown = set(body) - {"expr", "profile", "namespace"}
+    def compute_arrow(self, body: dict) -> bytes:
+        """The rows of an expression as an Arrow stream, with all their types; an expression of one value has one row."""
+        import pyarrow as pa
+
+        e = self._expression(body, {"expr", "namespace"})
+        try:
+            table = frame(e).limit(self.most_rows + 1).toArrow()
+        except NotImplementedError as err:
+            raise Refused(501, str(err)) from err
+        if table.num_rows > self.most_rows:
+            raise Refused(413, f"more than {self.most_rows} rows")
+        held = io.BytesIO()
+        with pa.ipc.new_stream(held, table.schema) as out:
+            out.write_table(table)
+        return held.getvalue()
+
+    def _expression(self, body: dict, known: set[str]) -> Expr:
+        unknown = set(body) - known
         if unknown or "expr" not in body:
             raise Refused(400, f"unknown keys {sorted(unknown)}" if unknown else "no expression")
-        asked = body.get("profile", self.profile)
-        if asked and not self.allow_profile:
-            raise Refused(403, "profiles are not allowed")
         try:
             e = from_tree(body["expr"], dict(self.tables))
         except (ValueError, TypeError, KeyError) as err:
             raise Refused(400, str(err)) from err
         if not isinstance(e, Expr):
             raise Refused(400, "not an expression")
+        return e
+
+    def compute(self, body: dict) -> dict:
+        e = self._expression(body, {"expr", "profile", "namespace"})
+        asked = body.get("profile", self.profile)
+        if asked and not self.allow_profile:
+            raise Refused(403, "profiles are not allowed")
         profiler = cProfile.Profile() if asked else None
         if profiler:
             profiler.enable()
@@ -139,9 +161,10 @@ class Server:
                 log.info(form, *args)
 
             def answer(self, status: int, body: Any):
-                raw = json.dumps(body).encode()
+                arrow = isinstance(body, bytes)
+                raw = body if arrow else json.dumps(body, allow_nan=False).encode()
                 self.send_response(status)
-                self.send_header("Content-Type", "application/json")
+                self.send_header("Content-Type", ARROW if arrow else "application/json")
                 self.send_header("Content-Length", str(len(raw)))
                 self.end_headers()
                 self.wfile.write(raw)
@@ -165,7 +188,8 @@ class Server:
 
             def do_POST(self):
                 def act():
-                    f = {"/compute": server.compute, "/add": server.add}.get(self.path) or self.lost
+                    compute = server.compute_arrow if ARROW in self.headers.get("Accept", "") else server.compute
+                    f = {"/compute": compute, "/add": server.add}.get(self.path) or self.lost
                     if self.headers.get_content_type() != "application/json":
                         raise Refused(415, "send application/json")
                     try:

@@ -124,7 +124,14 @@ def test_the_service_speaks_json_and_tables_come_back_whole(spark):
     df = spark.createDataFrame(rows, "i long, f double, s string, d date, w timestamp_ntz, c decimal(10,2), b binary, v array<long>, t interval day to second")
     server = Server({"t": m.data(df, spark=spark)}, port=0).start()
     try:
-        assert Client(f"http://127.0.0.1:{server.port}").table("t", spark).collect() == df.collect()
+        client = Client(f"http://127.0.0.1:{server.port}")
+        assert client.table("t", spark).collect() == df.collect()
+        leaf = client.leaf("t")
+        got = client.compute_arrow(leaf[leaf.i == 1][["i", "c", "b", "v"]]).to_pylist()
+        assert got == [{"i": 1, "c": Decimal("1.25"), "b": b"\x00\xff", "v": [1, 2]}]
+        assert client.compute_arrow(leaf.f.min()).to_pylist() == [{"f_min": float("-inf")}] and client.compute(leaf.f.min())["data"] == "-inf"
+        with pytest.raises(RuntimeError):
+            client._ask("/compute", {"expr": {"op": "map"}}, "application/vnd.apache.arrow.stream")
     finally:
         server.stop()
 
