@@ -20,6 +20,8 @@ from .pretokens import LETTER, classes
 from .runtime import ship
 
 SEGMENT, PAD, UNKNOWN = 64, 256, "und"
+#: Segments that a training sees, counting repeats.
+SEEN = 30_000
 
 
 def _gates(x, h, u, size):
@@ -151,8 +153,11 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return x, rows
 
 
-def train(texts: list[str], languages: list[str], size: int = 10, epochs: int = 6, batch: int = 128, rate: float = 0.01, seed: int = 7) -> Network:
-    """A network for the given labelled texts: Adam over all their segments."""
+def train(texts: list[str], languages: list[str], size: int = 10, epochs: int | None = None, batch: int = 128, rate: float = 0.01, seed: int = 7) -> Network:
+    """A network for the given labelled texts: Adam over all their segments.
+
+    Unless told, they are gone through as often as makes about SEEN segments, 2 to 6 times.
+    """
     rng = np.random.default_rng(seed)
     names = sorted(set(languages))
     net = Network.start(names, size, rng)
@@ -164,6 +169,7 @@ def train(texts: list[str], languages: list[str], size: int = 10, epochs: int =
     if not len(y):
         return net
     first, second = ([np.zeros_like(p) for p in net.parameters] for _ in range(2))
+    epochs = min(6, max(2, -(-SEEN // len(y)))) if epochs is None else epochs
     step, total = 0, epochs * -(-len(y) // batch)
     for _ in range(epochs):
         order = rng.permutation(len(y))
