@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,8 @@ from pyspark.sql.window import Window
 ONE_TASK = 200_000
 #: Rows of a range of a distributed order, the most ranges, and sampled rows for each.
 RANGE_ROWS, MOST_RANGES, SAMPLES = 250_000, 1024, 30
+#: The most ranges of a table that is put in order as files.
+MOST_SETTLED = 50_000
 #: Rows of a block in which values are shifted.
 SHIFT_ROWS = 100_000
 
@@ -96,13 +99,16 @@ def with_ordinal(df: DataFrame, order: Sequence[Key], name: str = "ordinal", one
     A small table (its rows are counted) is numbered in one task.  Otherwise a bounded sample
     gives splitters of the order, as many as the rows ask for; rows are numbered within ranges,
     and the counts of the ranges, one row for each, are added up.  A row finds its range by
-    halving, and no task holds more than a range.
+    halving, and no task holds more than a range.  A table that asks for more than
+    ``MOST_RANGES`` of them is settled in order instead, see :func:`_settled_order`.
     """
     rows = df.count()
     order = [*order, Key(row_hash(df))]
     if rows <= one_task:
         return df.withColumn(name, (F.row_number().over(Window.orderBy(*[k.sort for k in order])) - 1).cast("long"))
-    ranges = min(MOST_RANGES, max(8, rows // RANGE_ROWS))
+    if rows // RANGE_ROWS > MOST_RANGES:
+        return _settled_order(df, order, min(MOST_SETTLED, rows // RANGE_ROWS), name)
+    ranges = max(8, rows // RANGE_ROWS)
     probe = df.select(*[k.column.alias(f"k{i}") for i, k in enumerate(order)])
     ranked = [Key(f"k{i}", k.ascending).sort for i, k in enumerate(order)]
     seen = probe.sample(min(1.0, ranges * SAMPLES / rows), seed=7).limit(4 * ranges * SAMPLES).orderBy(*ranked).collect()
@@ -115,14 +121,39 @@ def with_ordinal(df: DataFrame, order: Sequence[Key], name: str = "ordinal", one
         return F.when(_at_or_after(order, cuts[middle]), place_of(middle + 1, hi)).otherwise(place_of(lo, middle))
 
     ranged = df.withColumn("__range", place_of(0, len(cuts)))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*[k.sort for k in order])) - 1
+    return _added_up(ranged, ranged.withColumn("__place", place), name)
+
+
+def _added_up(ranged: DataFrame, placed: DataFrame, name: str) -> DataFrame:
+    """Places within ranges, plus the rows of all ranges before, which are at most MOST_SETTLED sums."""
     counts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    before = counts.select("__range", before.alias("__before"))  # at most MOST_RANGES rows
-    place = F.row_number().over(Window.partitionBy("__range").orderBy(*[k.sort for k in order])) - 1
-    numbered = ranged.withColumn("__place", place).join(F.broadcast(before), "__range")
+    numbered = placed.join(F.broadcast(counts.select("__range", before.alias("__before"))), "__range")
     return numbered.withColumn(name, (F.col("__before") + F.col("__place")).cast("long")).drop("__range", "__place", "__before")
 
 
+def _settled_order(df: DataFrame, order: Sequence[Key], ranges: int, name: str) -> DataFrame:
+    """Rows numbered by one range partitioning, written in order to the shared folder.
+
+    Spark samples the ranges anew whenever a plan runs, so rows and counts of ranges are only
+    certain to fit together once they are written; a lost executor then costs its files' rereading.
+    The files go when the application ends.
+    """
+    from ..sources.resources import shared_folder
+
+    spark = df.sparkSession
+    sorts = [k.sort for k in order]
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    held = df.repartitionByRange(ranges, *sorts).withColumn("__range", F.spark_partition_id()).sortWithinPartitions(*sorts).withColumn("__place", place)
+    path = f"{shared_folder(spark)}/order-{uuid.uuid4().hex}"
+    held.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    settled = spark.read.parquet(path)
+    return _added_up(settled, settled, name)
+
+
 def tail(df: DataFrame, n: int, order: Sequence[Key]) -> DataFrame:
     """The last ``n`` rows, in order: the first of the reversed order, put back."""
     return df.orderBy(*[k.reverse for k in order]).limit(n).orderBy(*[k.sort for k in order])

@@ -22,15 +22,19 @@ def session() -> SparkSession:
 
 
 def as_frame(source: Any, spark: SparkSession, measure=None) -> DataFrame:
-    """A DataFrame of what a leaf can be bound to: a DataFrame, a path or URI, rows, a dict of columns, pandas."""
+    """A DataFrame of what a leaf can be bound to: a DataFrame, a path or URI, rows, a dict of columns, pandas.
+
+    Text files are read with the types of ``measure`` where it is given, without a pass to find them out.
+    """
     if isinstance(source, DataFrame):
         return source
     if isinstance(source, Expr):
         return Lowering(spark).frame(source)
     if isinstance(source, str):
-        from ..sources.resources import resource
+        from ..sources.resources import resource, takes_schema
 
-        return resource(source, spark)
+        told = {"schema": types.to_spark(measure)} if isinstance(measure, Record) and takes_schema(source) else {}
+        return resource(source, spark, **told)
     kind = types.to_spark(measure) if isinstance(measure, Record) else None
     if isinstance(source, RDD):
         return spark.createDataFrame(source, kind)

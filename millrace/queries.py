@@ -6,6 +6,7 @@ import datetime as dt
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ import millrace as m
 
 from .operators.arrays import LongArray
 from .plans.expr import Expr, binary_math, unary
+from .server.client import Client
+from .server.service import Server
+from .sources import resources
 from .streaming import windows
 
 #: Columns that put the rows of a table in order.
@@ -355,13 +359,6 @@ def sort_tail(t):
     return t.orders[["o_orderkey", "o_totalprice"]].sort(["o_totalprice", "o_orderkey"]).tail(25)
 
 
-@query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice + o_custkey, o_orderkey) AS i FROM orders) WHERE i <= 10")
-def sort_by_expression(t):
-    o = t.orders
-    s = m.transform(o, k=o.o_totalprice + o.o_custkey)
-    return s.sort(["k", "o_orderkey"]).head(10).o_orderkey
-
-
 @query("SELECT o_orderkey, o_totalprice + o_custkey AS k FROM orders ORDER BY k, o_orderkey")
 def sort_by_expression_whole(t):
     o = t.orders
@@ -750,7 +747,173 @@ def array_tensordot(t):
     return out.withColumns({"i0": F.col("i0").cast("long"), "i1": F.col("i1").cast("long")})
 
 
-# -- sources, trees, streams -----------------------------------------------------------------
+# -- sources and sinks -----------------------------------------------------------------------
+def _written(t, e: Expr, suffix: str) -> str:
+    """The path of an expression's rows, written into the folder that all executors share."""
+    path = _place(t, suffix)
+    m.into(path, e)
+    return path
+
+
+def _place(t, suffix: str) -> str:
+    path = f"{resources.shared_folder(t.spark)}/query-{uuid.uuid4().hex}{suffix}"
+    at = t.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(t.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+_CUSTOMER = "{c_custkey: int64, c_name: string, c_acctbal: float64, c_mktsegment: string}"
+_FEW = ["c_custkey", "c_name", "c_acctbal", "c_mktsegment"]
+
+
+def _customers(t) -> Expr:
+    return t.customer[_FEW]
+
+
+@query("SELECT c_custkey::BIGINT AS c_custkey, c_name FROM customer WHERE c_acctbal > 100")
+def csv_scan(t):
+    c = m.data(_written(t, _customers(t), ".csv"), f"var * {_CUSTOMER}", spark=t.spark)
+    return c[c.c_acctbal > 100][["c_custkey", "c_name"]]
+
+
+@query("SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS n, round(max(c_acctbal), 2) AS top FROM customer GROUP BY 1", 2, ("top",))
+def csv_types_found_out(t):
+    c = m.data(_written(t, _customers(t), ".csv"), spark=t.spark)
+    return m.by(c.c_mktsegment, n=c.c_custkey.count(), top=c.c_acctbal.max())
+
+
+@query("SELECT least(30, count(*))::BIGINT AS n FROM customer")
+def csv_head(t):
+    c = m.data(_written(t, _customers(t), ".csv"), f"var * {_CUSTOMER}", spark=t.spark)
+    return m.summary(n=c.head(30).c_custkey.count())
+
+
+@query("SELECT c_custkey::BIGINT AS c_custkey, c_mktsegment FROM customer")
+def csv_glob(t):
+    base, c = _place(t, ""), _customers(t)
+    for i in range(3):
+        m.into(f"{base}/accounts_{i}.csv", c[c.c_custkey % 3 == i])
+    return m.data(f"{base}/accounts_*.csv", f"var * {_CUSTOMER}", spark=t.spark)[["c_custkey", "c_mktsegment"]]
+
+
+@query("SELECT n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
+def json_document(t):
+    """One document that holds an array of records."""
+    path, n = _place(t, ".json"), m.frame(t.nation, spark=t.spark)
+    n.agg(F.to_json(F.collect_list(F.struct("n_name", "n_regionkey")))).write.text(path)
+    return m.data(path, "var * {n_name: string, n_regionkey: int64}", spark=t.spark)
+
+
+@query("SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS n FROM customer WHERE c_acctbal > 100 GROUP BY 1")
+def json_lines(t):
+    c = m.data(_written(t, _customers(t), ".jsonl"), f"var * {_CUSTOMER}", spark=t.spark)
+    s = c[c.c_acctbal > 100]
+    return m.by(s.c_mktsegment, n=s.c_custkey.count())
+
+
+@query("SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
+def orc_scan(t):
+    return m.data(_written(t, _customers(t), ".orc"), spark=t.spark)
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer UNION ALL SELECT c_custkey, c_mktsegment FROM customer WHERE c_acctbal > 100")
+def append_rows(t):
+    c = _customers(t)
+    path = _written(t, c, ".parquet")
+    resources.append(path, m.frame(c[c.c_acctbal > 100], spark=t.spark))
+    return m.data(path, spark=t.spark)[["c_custkey", "c_mktsegment"]]
+
+
+@query("SELECT o_custkey, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1")
+def cached_dataset(t):
+    """The second answer comes from the rows that were kept for the first."""
+    held = m.CachedDataset(t.orders)
+    build = lambda o: m.by(o.o_custkey, n=o.o_orderkey.count())
+    held.compute(build, "native")
+    return held.compute(build, "native")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+def catalog_view(t):
+    name = f"v{uuid.uuid4().hex}"
+    m.frame(t.nation, spark=t.spark).createOrReplaceTempView(name)
+    n = m.data(f"table:{name}", spark=t.spark)
+    return n[n.n_regionkey == 1][["n_nationkey", "n_name"]]
+
+
+@query("SELECT * FROM (VALUES ('list', 1::BIGINT), ('list', 2), ('dict', 3), ('pandas', 4), ('numpy', 5), ('iterator', 6)) v(kind, x)")
+def python_sources(t):
+    shape = "var * {kind: string, x: int64}"
+    given = (
+        [("list", 1), ("list", 2)], {"kind": ["dict"], "x": [3]}, pd.DataFrame({"kind": ["pandas"], "x": [4]}),
+        np.array([("numpy", 5)], dtype=[("kind", "U8"), ("x", "i8")]), iter([("iterator", 6)]),
+    )
+    tables = [m.data(g, shape, spark=t.spark) for g in given]
+    out = tables[0]
+    for other in tables[1:]:
+        out = m.concat(out, other)
+    return out
+
+
+@query("SELECT n_regionkey AS region, CAST(count(*) AS BIGINT) AS n FROM nation GROUP BY 1")
+def service_compute(t):
+    """An expression computed by the service and sent as an Arrow stream."""
+    server = Server({"nation": t.nation}, port=0).start()
+    try:
+        client = Client(f"http://127.0.0.1:{server.port}")
+        n = client.leaf("nation")
+        return t.spark.createDataFrame(client.compute_arrow(m.by(n.n_regionkey.label("region"), n=n.n_name.count())))
+    finally:
+        server.stop()
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def service_table(t):
+    """A table of another service, by its URI."""
+    server = Server({"nation": t.nation[["n_nationkey", "n_name", "n_regionkey"]]}, port=0).start()
+    try:
+        return m.frame(m.data(f"millrace://127.0.0.1:{server.port}/nation", spark=t.spark), spark=t.spark)
+    finally:
+        server.stop()
+
+
+@query("SELECT 7::BIGINT AS made, n_nationkey, 'k' AS s FROM nation")
+def literals(t):
+    n = t.nation
+    return m.merge(n.n_nationkey, made=(m.literal(3) + 4).coerce("int64"), s="k")
+
+
+@query("SELECT l_returnflag, round(sum(l_quantity), 2) AS total, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1", 2, ("total",))
+def by_summary(t):
+    x = t.lineitem
+    return m.by(x.l_returnflag, m.summary(total=x.l_quantity.sum(), n=x.l_orderkey.count()))
+
+
+@query("SELECT c_custkey, length(c_name)::BIGINT AS len, upper(c_mktsegment) AS upper, lower(c_name) AS lower, c_name || c_mktsegment AS cat FROM customer")
+def strings_by_old_names(t):
+    c = t.customer
+    return m.merge(c.c_custkey, len=c.c_name.str_len().coerce("int64"), upper=c.c_mktsegment.str_upper(), lower=c.c_name.str_lower(), cat=c.c_name.str_cat(c.c_mktsegment))
+
+
+@query("SELECT round(sum(sqrt(o_totalprice)), 2) AS roots, max(year(o_orderdate))::BIGINT AS last, CAST(count(DISTINCT greatest(o_custkey, 9)) AS BIGINT) AS n FROM orders", 2, ("roots",))
+def free_functions(t):
+    o = t.orders
+    return m.summary(roots=m.sum(m.sqrt(o.o_totalprice)), last=m.max(m.year(o.o_orderdate)).coerce("int64"), n=m.nunique(m.greatest(o.o_custkey, 9)))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, any_value(len(embedding))::BIGINT AS wide FROM embeddings")
+def array_sizes(t):
+    x = _vectors(t)
+    return t.spark.createDataFrame([(x.nelements(0), x.nelements(1))], "n long, wide long")
+
+
+@query("SELECT event_id, 0::BIGINT AS nano FROM events")
+def nanoseconds_of_differences(t):
+    e = t.events
+    return m.merge(e.event_id, nano=(e.ts - dt.datetime(2000, 1, 1)).dt.nanoseconds)
+
+
+# -- trees, streams -----------------------------------------------------------------
 @query("SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS n FROM customer WHERE c_acctbal > 0 GROUP BY 1")
 def tree_round_trip(t):
     c = m.symbol("c", t.customer.dshape)

@@ -42,10 +42,11 @@ class Client:
             shape = shape[part]
         return symbol(name, shape)
 
-    def compute(self, e: Expr, profile: bool = False) -> dict:
+    def compute(self, e: Expr, profile: bool = False, compute_kwargs: dict | None = None, odo_kwargs: dict | None = None) -> dict:
         """The answer of the service: ``datashape``, ``names`` and ``data``."""
         names = {leaf: leaf._name for leaf in e.leaves()}
-        return self._ask("/compute", {"expr": to_tree(e, names)} | ({"profile": True} if profile else {}))
+        more = {"profile": profile, "compute_kwargs": compute_kwargs, "odo_kwargs": odo_kwargs}
+        return self._ask("/compute", {"expr": to_tree(e, names)} | {k: v for k, v in more.items() if v})
 
     def compute_arrow(self, e: Expr):
         """The rows of an expression as an Arrow table."""

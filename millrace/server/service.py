@@ -17,8 +17,11 @@ import json
 import logging
 import math
 import pstats
+import time
+import traceback
 from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from pathlib import Path
 from typing import Any
 
 from ..plans import types
@@ -66,17 +69,23 @@ class Server:
     """Serves the tables of a database (or one table).
 
     ``authorize`` is asked with the request's authorization header; ``allow_add`` opens
-    ``/add``; ``allow_profile`` lets a request ask for a profile, ``profile`` makes each one;
-    ``most_rows`` bounds what a result may send.
+    ``/add``; ``allow_profile`` lets a request ask for a profile, ``profile`` makes each one, and
+    ``profile_folder`` keeps them in files, by expression and time; ``most_rows`` bounds what a
+    result may send; ``tell`` makes the text that the log has of an exception.
+
+    A request may hold ``compute_kwargs`` (``most_rows``, a lower bound of its own) and
+    ``odo_kwargs`` (``orient``: ``rows`` or ``columns``, how a table's data are laid out).
     """
 
     def __init__(
         self, tables: Any, authorize: Callable[[str | None], bool] | None = None, allow_add: bool = False, allow_profile: bool = False,
         profile: bool = False, most_rows: int = 1_000_000, host: str = "127.0.0.1", port: int = PORT,
+        profile_folder: str | None = None, tell: Callable[[BaseException], str] | None = None,
     ):
         self.tables = tables if isinstance(tables, dict) else Database({"data": data(tables)})
         self.authorize, self.allow_add = authorize, allow_add
         self.allow_profile, self.profile, self.most_rows = allow_profile, profile, most_rows
+        self.profile_folder, self.tell = profile_folder, tell or (lambda err: "".join(traceback.format_exception(err)))
         self.host, self.port, self._http = host, port, None
 
     # -- what it answers -------------------------------------------------------------------
@@ -90,18 +99,32 @@ class Server:
         """The rows of an expression as an Arrow stream, with all their types; an expression of one value has one row."""
         import pyarrow as pa
 
-        e = self._expression(body, {"expr", "namespace"})
+        e = self._expression(body, {"expr", "namespace", "compute_kwargs"})
+        most, _ = self._asked(body)
         try:
-            table = frame(e).limit(self.most_rows + 1).toArrow()
+            table = frame(e).limit(most + 1).toArrow()
         except NotImplementedError as err:
             raise Refused(501, str(err)) from err
-        if table.num_rows > self.most_rows:
-            raise Refused(413, f"more than {self.most_rows} rows")
+        if table.num_rows > most:
+            raise Refused(413, f"more than {most} rows")
         held = io.BytesIO()
         with pa.ipc.new_stream(held, table.schema) as out:
             out.write_table(table)
         return held.getvalue()
 
+    def _asked(self, body: dict) -> tuple[int, str]:
+        """How many rows at most, and how they are laid out."""
+        wanted = {"compute_kwargs": {"most_rows": self.most_rows}, "odo_kwargs": {"orient": "rows"}}
+        for part, known in wanted.items():
+            given = body.get(part) or {}
+            if not isinstance(given, dict) or set(given) - set(known):
+                raise Refused(400, f"{part} may hold {sorted(known)}")
+            known.update(given)
+        most, orient = wanted["compute_kwargs"]["most_rows"], wanted["odo_kwargs"]["orient"]
+        if not isinstance(most, int) or most < 0 or orient not in ("rows", "columns"):
+            raise Refused(400, "most_rows is a whole number, orient is rows or columns")
+        return min(most, self.most_rows), orient
+
     def _expression(self, body: dict, known: set[str]) -> Expr:
         unknown = set(body) - known
         if unknown or "expr" not in body:
@@ -115,7 +138,8 @@ class Server:
         return e
 
     def compute(self, body: dict) -> dict:
-        e = self._expression(body, {"expr", "profile", "namespace"})
+        e = self._expression(body, {"expr", "profile", "namespace", "compute_kwargs", "odo_kwargs"})
+        most, orient = self._asked(body)
         asked = body.get("profile", self.profile)
         if asked and not self.allow_profile:
             raise Refused(403, "profiles are not allowed")
@@ -124,21 +148,27 @@ class Server:
             profiler.enable()
         try:
             df = frame(e)
-            rows = df.limit(self.most_rows + 1).collect()
+            rows = df.limit(most + 1).collect()
         except NotImplementedError as err:
             raise Refused(501, str(err)) from err
         finally:
             if profiler:
                 profiler.disable()
-        if len(rows) > self.most_rows:
-            raise Refused(413, f"more than {self.most_rows} rows")
+        if len(rows) > most:
+            raise Refused(413, f"more than {most} rows")
         table = isinstance(e.measure, types.Record)
         out = [plain(tuple(r)) if table else plain(r[0]) for r in rows]
+        if table and e.dims and orient == "columns":
+            out = {n: [r[i] for r in out] for i, n in enumerate(e.fields)}
         answer = {"datashape": e.dshape, "names": e.fields or df.columns, "data": out if e.dims else (out[0] if out else None), "digest": digest(e)}
         if profiler:
             text = io.StringIO()
             pstats.Stats(profiler, stream=text).sort_stats("cumulative").print_stats(30)
             answer["profile"] = text.getvalue()
+            if self.profile_folder:
+                kept = Path(self.profile_folder) / digest(e)
+                kept.mkdir(parents=True, exist_ok=True)
+                profiler.dump_stats(kept / str(time.time_ns()))
         return answer
 
     def add(self, body: dict) -> dict:
@@ -177,7 +207,7 @@ class Server:
                 except Refused as err:
                     self.answer(err.status, {"error": str(err)})
                 except Exception as err:
-                    log.exception("failed")
+                    log.error("failed: %s", server.tell(err))
                     self.answer(500, {"error": str(err)[:1000]})
 
             def do_GET(self):

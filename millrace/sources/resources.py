@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Kinds of files by suffix; compressed ones bear one more suffix.
 SUFFIXES = {
-    ".csv": "csv", ".tsv": "tsv", ".json": "json", ".jsonl": "jsonl", ".ndjson": "jsonl", ".parquet": "parquet", ".orc": "orc", ".txt": "text", ".xml": "xml",
+    ".csv": "csv", ".tsv": "tsv", ".json": "json", ".jsonl": "jsonl", ".ndjson": "jsonl", ".parquet": "parquet", ".orc": "orc", ".txt": "text", ".xml": "xml", ".xlsx": "xlsx", ".h5": "hdf5", ".hdf5": "hdf5",
 }
 READERS: dict[str, Callable] = {}
 SCHEMES: list[tuple[re.Pattern, Callable]] = []
@@ -42,13 +42,21 @@ def opens(pattern: str):
 
 
 def kind_of(path: str) -> str:
-    bare = re.sub(r"\.(gz|bz2|zst|snappy|deflate)$", "", path.split("?")[0].rstrip("/").lower())
+    bare = re.sub(r"\.(gz|bz2|zst|snappy|deflate)$", "", path.partition("::")[0].split("?")[0].rstrip("/").lower())
     for suffix, kind in SUFFIXES.items():
         if bare.endswith(suffix):
             return kind
     raise NotImplementedError(f"no reader for {path!r}")
 
 
+def takes_schema(uri: str) -> bool:
+    """Whether a URI names a text file whose types can be told instead of found out."""
+    try:
+        return not any(p.match(uri) for p, _ in SCHEMES) and kind_of(uri) in ("csv", "tsv", "json", "jsonl")
+    except NotImplementedError:
+        return False
+
+
 def resource(uri: str, spark: SparkSession, **options) -> DataFrame:
     """The table a URI names; nothing but its schema is read."""
     for pattern, f in SCHEMES:
@@ -115,7 +123,29 @@ def _jdbc(spark, uri, **options):
     return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
 
 
-@opens(r"^(mongodb|impala|sqlite|postgresql|mysql)(\+\w+)?://")
+@opens(r"^sqlite://")
+def _sqlite(spark, uri, **options):
+    from .files import sqlite
+
+    path, _, name = uri.removeprefix("sqlite://").partition("::")
+    return sqlite(spark, path, name, **options)
+
+
+@reads("xlsx")
+def _xlsx(spark, path, **options):
+    from .files import xlsx
+
+    return xlsx(spark, path, **options)
+
+
+@reads("hdf5")
+def _hdf5(spark, path, **options):
+    from .files import hdf5
+
+    return hdf5(spark, path, **options)
+
+
+@opens(r"^(mongodb|impala|postgresql|mysql)(\+\w+)?://")
 def _by_connector(spark, uri, **options):
     """Databases that need a connector on the class path; plain SQL ones go through JDBC."""
     url, _, name = uri.partition("::")
@@ -124,8 +154,7 @@ def _by_connector(spark, uri, **options):
         base, _, db = url.rpartition("/")
         return spark.read.format("mongodb").options(**{"connection.uri": base, "database": db, "collection": name}, **options).load()
     rest = url.split("://", 1)[1]
-    jdbc = f"jdbc:sqlite:{rest.removeprefix('/')}" if scheme == "sqlite" else f"jdbc:{'hive2' if scheme == 'impala' else scheme}://{rest}"
-    return _jdbc(spark, f"{jdbc}::{name}", **options)
+    return _jdbc(spark, f"jdbc:{'hive2' if scheme == 'impala' else scheme}://{rest}::{name}", **options)
 
 
 def shared_folder(spark: SparkSession) -> str:
