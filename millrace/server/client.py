@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-import base64
-import datetime as dt
-import decimal
 import json
 import urllib.error
 import urllib.request
 from typing import Any
 
-from pyspark.sql import types as T
-
-from ..plans import types
 from ..plans.expr import Expr, symbol
 from ..plans.tree import to_tree
 
@@ -59,32 +53,5 @@ class Client:
         return self._ask("/add", sources)
 
     def table(self, name: str, spark):
-        """A table of the service, fetched whole, as a DataFrame."""
-        e = self.leaf(name)
-        got = self.compute(e)
-        fields = types.to_spark(e.measure)
-        rows = [tuple(value(v, m) for v, (_, m) in zip(r, e.measure.fields, strict=True)) for r in got["data"]]
-        return spark.createDataFrame(rows, T.StructType([T.StructField(f.name, f.dataType) for f in fields]))
-
-
-def value(v, m):
-    """What the service's JSON stands for, by its type."""
-    if v is None:
-        return None
-    if isinstance(m, types.Nested):
-        inner = m.measure if len(m.dims) == 1 else types.Nested(m.dims[1:], m.measure)
-        return [value(x, inner) for x in v]
-    if isinstance(m, types.Record):
-        return tuple(value(x, k) for x, (_, k) in zip(v, m.fields, strict=True))
-    name = m.key.name if isinstance(m, types.ForeignKey) else m.name
-    if name in types.FLOATS:
-        return float(v)
-    if name == "datetime":
-        return dt.datetime.fromisoformat(v)
-    if name == "date":
-        return dt.date.fromisoformat(v)
-    if name == "timedelta":
-        return dt.timedelta(seconds=v)
-    if name == "bytes":
-        return base64.b64decode(v)
-    return decimal.Decimal(v) if name.startswith("decimal") or name == "uint64" else v
+        """A table of the service, fetched whole through the driver as an Arrow stream, as a DataFrame."""
+        return spark.createDataFrame(self.compute_arrow(self.leaf(name)))

@@ -12,14 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows that a task reads of a file that can be entered at a row.
-PART_ROWS = 1_000_000
+#: Rows that a task reads of a file that can be entered at a row, and the most tasks; beyond them each reads more.
+PART_ROWS, MOST_PARTS = 1_000_000, 10_000
 
 
 def _local(path: str) -> str:
     return path.removeprefix("file://").removeprefix("file:")
 
 
+def _ranges(lo: int, hi: int, rows: int) -> list[range]:
+    """``range(lo, hi)`` in pieces of ``rows``, or of more where there were too many."""
+    step = max(rows, -(-(hi - lo) // MOST_PARTS))
+    return [range(i, min(i + step, hi)) for i in range(lo, hi, step)]
+
+
 # -- spreadsheets ----------------------------------------------------------------------------
 def _sheet_reader():
     """A function ``(bytes, sheet) -> rows``; a row is a list of (kind, text) cells, empty ones None."""
@@ -182,7 +188,7 @@ def sqlite(spark: SparkSession, path: str, name: str, part_rows: int = PART_ROWS
             raise ValueError(f"no table {name!r} in {path}")
         try:
             lo, hi = con.execute(f"SELECT min(rowid), max(rowid) FROM {quoted}").fetchone()
-            parts = [(0, -1, False)] if lo is None else [(i, min(i + part_rows - 1, hi), False) for i in range(lo, hi + 1, part_rows)]
+            parts = [(0, -1, False)] if lo is None else [(r.start, r[-1], False) for r in _ranges(lo, hi + 1, part_rows)]
             if not con.execute("SELECT 1 FROM sqlite_master WHERE name = ? AND type = 'table'", (name,)).fetchone():
                 parts = [(0, 0, True)]
         except sqlite3.OperationalError:  # no row ids
@@ -256,7 +262,7 @@ def hdf5(spark: SparkSession, path: str, dataset: str | None = None, part_rows:
 
     from pyspark.sql.pandas.types import to_arrow_type
 
-    parts = [(i, min(i + part_rows, shape[0])) for i in range(0, shape[0], part_rows)]
+    parts = [(r.start, r.stop) for r in _ranges(0, shape[0], part_rows)]
     made = T.StructType([T.StructField(n, T.DataType.fromDDL(k)) for n, k in fields])
     arrow = [to_arrow_type(x.dataType) for x in made.fields]
     asked = spark.createDataFrame(parts, "lo long, hi long")

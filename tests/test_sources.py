@@ -48,7 +48,7 @@ def test_spreadsheets(spark, tmp_path):
 
 
 @pytest.mark.parametrize("part", [3, 1000])
-def test_sqlite(spark, tmp_path, part):
+def test_sqlite(spark, tmp_path, part, monkeypatch):
     path = tmp_path / "d.db"
     with sqlite3.connect(path) as con:
         con.execute('CREATE TABLE t (id INTEGER PRIMARY KEY, name VARCHAR(9), v REAL, raw BLOB, day DATE, "odd ""name" NUMERIC)')
@@ -56,6 +56,8 @@ def test_sqlite(spark, tmp_path, part):
         con.execute("CREATE TABLE w (k TEXT PRIMARY KEY) WITHOUT ROWID")
         con.execute("INSERT INTO w VALUES ('z')")
         con.execute("CREATE TABLE none (k INT)")
+        con.execute("CREATE TABLE far (k INT)")
+        con.executemany("INSERT INTO far (rowid, k) VALUES (?, ?)", [(-(2**62), 1), (0, 2), (2**63 - 1, 3)])
         con.execute("CREATE VIEW seen AS SELECT id, name FROM t WHERE id > 8")
     got = files.sqlite(spark, str(path), "t", part)
     assert [t for _, t in got.dtypes] == ["bigint", "string", "double", "binary", "date", "double"]
@@ -64,6 +66,8 @@ def test_sqlite(spark, tmp_path, part):
     assert rows[4] == (4, None, 2.0, b"\x06", dt.date(2000, 1, 2), 4.0) and rows[5][5] is None
     assert m.into(list, m.data(f"sqlite://{path}::w", spark=spark)) == ["z"] and m.into(list, m.data(f"sqlite://{path}::none", spark=spark)) == []
     assert sorted(m.into(list, m.data(f"sqlite://{path}::seen", spark=spark))) == [(9, "n9"), (10, "n10")]
+    monkeypatch.setattr(files, "MOST_PARTS", 5)
+    assert sorted(m.into(list, m.data(f"sqlite://{path}::far", spark=spark))) == [1, 2, 3]
     with pytest.raises(ValueError):
         m.data(f"sqlite://{path}::lost", spark=spark)
 
