@@ -54,4 +54,9 @@ class Client:
 
     def table(self, name: str, spark):
         """A table of the service, fetched whole through the driver as an Arrow stream, as a DataFrame."""
-        return spark.createDataFrame(self.compute_arrow(self.leaf(name)))
+        got = self.compute_arrow(self.leaf(name))
+        if not got.num_rows:  # Spark takes no empty columns of arrays
+            from pyspark.sql.pandas.types import from_arrow_schema
+
+            return spark.createDataFrame([], from_arrow_schema(got.schema))
+        return spark.createDataFrame(got)

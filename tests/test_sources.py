@@ -152,3 +152,14 @@ def test_options_of_the_service(spark, tmp_path):
         assert len(told) == 1 and isinstance(told[0], ZeroDivisionError)
     finally:
         server.stop()
+
+
+def test_service_tables_keep_their_types(spark):
+    df = spark.sql("SELECT 1 a, interval '3' hour c, binary('q') d, array(1, 2) e, timestamp_ntz'2000-01-01 01:02:03' f, cast(1.5 as decimal(10, 2)) g, double('inf') h")
+    server = Server({"t": m.data(df, spark=spark), "none": m.data(df.filter("a > 1"), spark=spark)}, port=0).start()
+    try:
+        c = Client(f"http://127.0.0.1:{server.port}")
+        assert c.table("t", spark).collect() == df.collect()
+        assert c.table("none", spark).collect() == [] and c.table("none", spark).columns == df.columns
+    finally:
+        server.stop()
