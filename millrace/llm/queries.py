@@ -53,7 +53,7 @@ def op4_bigru_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_ngram_ratio_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return quality.apply(docs, quality.fit(docs, table(spark, sf_dir, "labels"))).drop("score")
+    return quality.apply(docs, quality.fit(docs, table(spark, sf_dir, "labels"), tuning_rows=None)).drop("score")
 
 
 def op6_token_counts_two_tier(spark: SparkSession, sf_dir: str) -> DataFrame:

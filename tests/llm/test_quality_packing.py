@@ -6,13 +6,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from millrace.llm import packing, quality
-from millrace.llm.columns import mix
-from millrace.llm.words import digests
+from millrace.llm.columns import flat, mix
+from millrace.llm.words import Words, digests
 
 from .conftest import thue_morse
 
@@ -112,6 +113,68 @@ def test_target_counts_all_good_documents(spark, monkeypatch):
     assert raw.sum() == 30_001 and target.sum() == 28_000 - 2_000
 
 
+def test_threshold_and_counts_of_all_labels(spark):
+    """Every good document is trusted and every labelled one sets the threshold, a trusted one without its own n-grams; worked out word by word."""
+    import random
+
+    random.seed(5)
+    rows = [(i, " ".join(random.choice("abcdefgh" if i % 3 else "efghijkl") + str(random.randint(0, 9)) for _ in range(random.randint(40, 90)))) for i in range(240)]
+    rows += [(300, None), (301, ""), (None, "a1 b2 " * 30), (5, rows[5][1]), (8, rows[10][1])]
+    labels = [(i, int(i % 3 > 0)) for i in range(0, 240, 2)] + [(4, 1), (5, 1), (6, 1), (None, 1), (7, None), (9, 3), (300, 0), (999, 1)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    good, bad = ({d for d, x in labels if x == q and d is not None} for q in (1, 0))
+    place = lambda g: int((mix(sum_of(g) + np.uint64(len(g))) & np.uint64((1 << 12) - 1))[0])
+    grams = [[place(w[i : i + n]) for w in [(t or "").split()] for n in (1, 2) for i in range(len(w) - n + 1)] for _, t in rows]
+    raw, target = Counter(itertools.chain.from_iterable(grams)), Counter()
+    for (d, _), own in zip(rows, grams, strict=True):
+        target.update(own if d in good else [])
+    ratio = lambda g, t: np.log((t[g] + 0.5) / (t.total() + 2048)) - np.log((raw[g] + 0.5) / (raw.total() + 2048))
+    least = {}
+    for (d, t), own in zip(rows, grams, strict=True):
+        if len((t or "").split()) >= 50:
+            told = target - Counter(own) if d in good else target
+            least[d] = min(least.get(d, np.inf), np.mean([ratio(g, told) for g in own]))
+    cut = quality.choose_threshold(*(np.array([least[d] for d in some if d in least]) for some in (good, bad)))
+    for most in (0, 1 << 21):
+        model = quality.fit(docs, known, bits=12, tuning_rows=None, most_ids=most)
+        assert abs(cut - model.threshold) < 1e-9
+        assert np.allclose(model.ratio, [ratio(g, target) for g in range(1 << 12)])
+    for some in (known.limit(0), known.filter("quality = 1"), known.filter("quality = 0")):
+        left = quality.fit(docs, some, bits=12, tuning_rows=None)
+        assert np.isfinite(left.threshold) and (some.filter("quality = 1").count() > 0 or left.threshold == 0)
+    assert quality.fit(docs.limit(0), known, bits=12, tuning_rows=None).threshold == 0
+
+
+def test_threshold_of_a_table_is_that_of_arrays(spark):
+    rng = np.random.default_rng(6)
+    for good, bad in [(rng.normal(1, 1, 900).round(2), rng.normal(0, 1, 500).round(2)), (rng.normal(1, 1, 700), rng.normal(-1, 1, 40)), ([1.0], [2.0]), ([3.0, 3.0], [3.0]), ([1.0, 2.0], []), ([], [1.0]), ([], [])]:
+        rows = [(float(x), 1, 0) for x in good] + [(float(x), 0, 1) for x in bad]
+        table = spark.createDataFrame(rows, "score double, good int, bad int")
+        for ranges in (1, 7):
+            assert quality.threshold_of_all(table, ranges) == quality.choose_threshold(np.array(good), np.array(bad))
+
+
+def test_query_sets_the_threshold_on_all_labels(spark, tmp_path):
+    """Of 3,000 labels of either kind, of mixed quality, all count; a sample of 2,000 gives other verdicts."""
+    from millrace.llm.queries import op5_ngram_ratio_quality
+
+    rng = np.random.default_rng(7)
+    ids = np.arange(6_000)
+    texts = [" ".join(np.where(rng.random(60) < rng.normal(0.4 + 0.2 * (i % 2), 0.15), "g", "b") + rng.integers(0, 300, 60).astype(str).astype(object)) for i in ids]
+    docs = spark.createDataFrame([(int(i), t) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string")
+    labels = spark.createDataFrame([(int(i), int(i % 2)) for i in ids], "doc_id long, quality int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in op5_ngram_ratio_quality(spark, str(tmp_path)).filter("kept").collect()}
+    words, good = Words(*flat(pa.array(texts))), ids % 2 == 1
+    places = [np.concatenate(x) for x in zip(*quality.buckets(words, 16), strict=True)]
+    raw, target = np.bincount(places[0], minlength=1 << 16), np.bincount(places[0][good[places[1]]], minlength=1 << 16)
+    ratio = quality.log_ratio(raw, target, 0.5)
+    cut = quality.choose_threshold(quality.left_out_scores(words, raw, target, 0.5)[good], quality.scores(words, ratio)[~good])
+    assert kept == set(ids[quality.decide(words, quality.Model(ratio, cut))[3]].tolist())
+    assert kept != {r.doc_id for r in quality.apply(docs, quality.fit(docs, labels)).filter("kept").collect()}
+
+
 def test_ratio_is_the_brute_ratio():
     raw, target = np.array([10.0, 0, 5]), np.array([2.0, 0, 3])
     want = [np.log((t + 0.5) / (5 + 1.5)) - np.log((r + 0.5) / (15 + 1.5)) for r, t in zip(raw, target)]
