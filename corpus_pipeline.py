@@ -20,7 +20,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels"), tuning_rows=None))
 
 
 def _those(docs: DataFrame, verdicts: DataFrame, mark: Column | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 """The pipeline against a brute-force version of its decisions."""
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
@@ -45,6 +46,23 @@ def test_run_is_the_brute_version(spark):
         assert own[0][0] == 0 and sum(n for _, n in own) <= 1024 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:]))
 
 
+def test_quality_stage_sets_the_threshold_on_all_labels(spark, tmp_path):
+    """Of 3,000 labels of either kind, of mixed quality, all count; a sample of 2,000 keeps other documents."""
+    rng = np.random.default_rng(7)
+    ids = np.arange(6_000)
+    texts = [" ".join(np.where(rng.random(60) < rng.normal(0.4 + 0.2 * (i % 2), 0.15), "g", "b") + rng.integers(0, 300, 60).astype(str).astype(object)) for i in ids]
+    docs = spark.createDataFrame([(int(i), t) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string")
+    labels = spark.createDataFrame([(int(i), int(i % 2)) for i in ids], "doc_id long, quality int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in pipeline.good(spark, docs, str(tmp_path)).collect()}
+    words, good = Words(*flat(pa.array(texts))), ids % 2 == 1
+    bucket, rows = (np.concatenate(x) for x in zip(*quality.buckets(words, 16), strict=True))
+    raw, target = np.bincount(bucket, minlength=1 << 16), np.bincount(bucket[good[rows]], minlength=1 << 16)
+    ratio = quality.log_ratio(raw, target, 0.5)
+    cut = quality.choose_threshold(quality.left_out_scores(words, raw, target, 0.5)[good], quality.scores(words, ratio)[~good])
+    assert kept == set(ids[quality.decide(words, quality.Model(ratio, cut))[3]].tolist())
+
+
 def test_stages_on_odd_rows(spark, odd_docs):
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     docs = odd_docs.select(*columns)
