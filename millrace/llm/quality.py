@@ -65,9 +65,13 @@ def left_out_scores(words: Words, raw: np.ndarray, target: np.ndarray, smooth: f
     """The score of each row by trusted counts that lack the row's own n-grams; it means nothing for rows that are not in them."""
     size = len(raw)
     bucket, rows = (np.concatenate(x) for x in zip(*buckets(words, size.bit_length() - 1), strict=True))
-    _, which, own = np.unique(rows * size + bucket, return_inverse=True, return_counts=True)
+    if words.n_rows == 1:  # a long text: its n-grams are not sorted
+        own = np.bincount(bucket, minlength=size)[bucket]
+    else:
+        _, which, own = np.unique(rows * size + bucket, return_inverse=True, return_counts=True)
+        own = own[which]
     n = np.bincount(rows, minlength=words.n_rows)
-    one = np.log(np.maximum(target[bucket] - own[which], 0) + smooth) - np.log(raw + smooth)[bucket]
+    one = np.log(np.maximum(target[bucket] - own, 0) + smooth) - np.log(raw + smooth)[bucket]
     whole = np.log(raw.sum() + smooth * size) - np.log(np.maximum(target.sum() - n, 0) + smooth * size)
     return np.where(n > 0, np.bincount(rows, one, words.n_rows) / np.maximum(n, 1) + whole, 0.0)
 

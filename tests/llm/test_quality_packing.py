@@ -154,6 +154,14 @@ def test_threshold_of_a_table_is_that_of_arrays(spark):
             assert quality.threshold_of_all(table, ranges) == quality.choose_threshold(np.array(good), np.array(bad))
 
 
+def test_left_out_scores_of_a_row_alone():
+    texts = ["a b a b c", "", "c c c c", "x"]
+    raw, target = np.arange(16.0) + 9, np.arange(16.0) % 5 + 4
+    words = lambda some: Words(*flat(pa.array(some)))
+    together = quality.left_out_scores(words(texts), raw, target, 0.5)
+    assert together.tolist() == [quality.left_out_scores(words([t]), raw, target, 0.5)[0] for t in texts]
+
+
 def test_query_sets_the_threshold_on_all_labels(spark, tmp_path):
     """Of 3,000 labels of either kind, of mixed quality, all count; a sample of 2,000 gives other verdicts."""
     from millrace.llm.queries import op5_ngram_ratio_quality
