@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
 
+def _delta(micros: Column) -> Column:
+    """A time difference of microseconds; null where it does not hold them."""
+    held = F.when(F.abs(micros) <= (1 << 63) - 1, micros).cast("bigint")
+    day, minute = 24 * 60 * 60 * 10**6, 60 * 10**6
+    days = F.call_function("div", held, F.lit(day)).cast("int")
+    minutes = F.call_function("div", held % day, F.lit(minute)).cast("int")
+    return F.make_dt_interval(days, F.lit(0), minutes, ((held % minute).cast("decimal(18,0)") / 10**6).cast("decimal(18,6)"))
+
+
 def _spread(kind: str, c: Column, unbiased: bool, delta: bool) -> Column:
     from .dates import delta_micros
 
@@ -14,7 +23,19 @@ def _spread(kind: str, c: Column, unbiased: bool, delta: bool) -> Column:
     if not delta:
         return f(c)
     seconds = f(delta_micros(c) / 10**6)
-    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)")) if kind == "std" else seconds
+    return _delta(seconds.cast("decimal(24,6)") * 10**6) if kind == "std" else seconds
+
+
+def _of_deltas(op: str, c: Column) -> Column:
+    """The exact sum or mean of time differences, the latter in whole microseconds.
+
+    They are added up as decimals, which hold a billion of the longest at least; Spark's own sum and mean add
+    them up in 64 bits and fail when that goes beyond 292,000 years, as 12,000 differences of 24 years do.
+    """
+    from .dates import delta_micros
+
+    total = F.sum(delta_micros(c).cast("decimal(28,0)"))
+    return _delta(F.round(total / F.count(c)) if op == "mean" else total)
 
 
 def _norm(c: Column, order) -> Column:
@@ -41,6 +62,8 @@ def aggregate(op: str, c: Column | None, *, unbiased: bool = False, order=None,
         return F.count(F.lit(1))
     if op in ("var", "std"):
         return _spread(op, c, unbiased, delta)
+    if delta and op in ("sum", "mean"):
+        return _of_deltas(op, c)
     if op == "vnorm":
         return _norm(c, order)
     plain = {"sum": F.sum, "min": F.min, "max": F.max, "mean": F.avg, "any": F.bool_or, "all": F.bool_and, "count": F.count, "nunique": F.count_distinct}

@@ -27,6 +27,17 @@ def test_time_differences(spark):
     assert m.into(list, t.d.dt.total_seconds()) == [0.0, 10.0, 20.0] and m.into(list, t.d.dt.seconds) == [0, 10, 20] and m.into(list, t.d.dt.days) == [0, 0, 0]
 
 
+def test_time_differences_beyond_64_bits_in_sum(spark):
+    """12,176 differences of 24 years exceed 64 bits of microseconds when they are added up."""
+    d = dt.timedelta(days=8766, microseconds=7)
+    rows = [(k, d + dt.timedelta(microseconds=k)) for k in (0, 1)] * 20_000 + [(2, None)]
+    t = m.data(spark.createDataFrame(rows, "k int, d interval day to second"), spark=spark)
+    assert m.compute(t.d.mean()) == d + dt.timedelta(microseconds=1) and m.compute(t.d.sum()) is None
+    assert sorted(m.into(list, m.by(t.k, a=t.d.mean()))) == [(0, d), (1, d + dt.timedelta(microseconds=1)), (2, None)]
+    far = m.data([(dt.timedelta(days=s * 100_000_000),) for s in (-1, 1, 1)], "var * {d: timedelta}", spark=spark)
+    assert m.compute(far.d.sum()) == dt.timedelta(days=100_000_000) and m.compute(far.d.std()) > dt.timedelta(days=94_000_000)
+
+
 def test_decimals(spark):
     t = m.data([(Decimal("1.50"),), (Decimal("2.25"),)], "var * {x: decimal[10, 2]}", spark=spark)
     assert m.compute(t.x.sum()) == Decimal("3.75") and m.into(list, t.x > 2) == [False, True]
