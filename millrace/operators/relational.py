@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,10 @@ RANGE_ROWS, MOST_RANGES, SAMPLES = 250_000, 1024, 30
 MOST_SETTLED = 50_000
 #: Rows of a block in which values are shifted.
 SHIFT_ROWS = 100_000
+#: A key with more pairs than the square of CELL_SIDE, and at least so many rows on both sides, is joined in cells of that square.
+CELL_SIDE, CELL_LEAST = 3_000, 16
+#: Buckets by which such keys are looked for, and the most partitions that cells are dealt to.
+KEY_BUCKETS, MOST_CELL_TASKS = 65_536, 10_000
 
 
 class Key:
@@ -40,13 +46,16 @@ class Key:
 def join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], how: str, left_rest: Sequence[tuple[str, str]], right_rest: Sequence[tuple[str, str]], types: dict | None = None) -> DataFrame:
     """Equi-join with the output spelled out: the keys by the left's names, then the rest under new names.
 
-    Null keys match nothing.  The key comes from the side that is preserved, or both.
+    Null keys match nothing.  The key comes from the side that is preserved, or both.  Keys with
+    many rows on both sides, whose pairs outgrow their rows, are joined in cells, see :func:`_in_cells`.
     """
     types = types or {}
     l = left.select([F.col(n).alias(f"l{i}") for i, (n, _) in enumerate(on)] + [F.col(n).alias(f"lr{i}") for i, (n, _) in enumerate(left_rest)])
     r = right.select([F.col(n).alias(f"r{i}") for i, (_, n) in enumerate(on)] + [F.col(n).alias(f"rr{i}") for i, (n, _) in enumerate(right_rest)])
     cond = [F.col(f"l{i}") == F.col(f"r{i}") for i in range(len(on))]
-    both = l.join(r, cond, {"outer": "full_outer"}.get(how, how))
+    kind = {"outer": "full_outer"}.get(how, how)
+    crowded = _crowded_keys(l, r, len(on))
+    both = l.join(r, cond, kind) if crowded is None else _in_cells(l, r, cond, kind, *crowded)
 
     def key(i: int, name: str) -> Column:
         c = {"right": F.col(f"r{i}"), "outer": F.coalesce(f"l{i}", f"r{i}")}.get(how, F.col(f"l{i}"))
@@ -59,6 +68,85 @@ def join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], how:
     )
 
 
+#: Types of keys that compare alike on the driver's way to the executors.
+_PLAIN = (T.IntegralType, T.FractionalType, T.BooleanType, T.StringType, T.BinaryType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _crowded_keys(l: DataFrame, r: DataFrame, n: int) -> tuple[DataFrame, int] | None:
+    """The keys whose pairs need more than one cell, with the parts each side is cut into and the number of their first cell; and how many cells there are.
+
+    Rows are counted by a hash of the key first, which leaves nothing more to do in nearly all
+    joins; only where a bucket is crowded are keys themselves counted there.  The keys that come
+    of it are at most one for every CELL_SIDE rows.
+    """
+    spark, kinds = l.sparkSession, [(l.schema[f"l{i}"].dataType, r.schema[f"r{i}"].dataType) for i in range(n)]
+    if l.isStreaming or r.isStreaming or not n:
+        return None
+    for a, b in kinds:
+        if not (isinstance(a, _PLAIN) and (a == b or isinstance(a, T.IntegralType) and isinstance(b, T.IntegralType))) or isinstance(a, T.StringType) and a.simpleString() != "string":
+            return None
+    names = [f"h{i}" for i in range(n)]
+    bucket = F.pmod(F.xxhash64(*names), F.lit(KEY_BUCKETS))
+
+    def keys(df: DataFrame, side: str) -> DataFrame:
+        there = df.filter(" AND ".join(f"{side}{i} IS NOT NULL" for i in range(n)))
+        return there.select(*[F.col(f"{side}{i}").cast("long" if a != b else a).alias(names[i]) for i, (a, b) in enumerate(kinds)])
+
+    def crowds(x: DataFrame, y: DataFrame, by: Sequence) -> DataFrame:
+        count = lambda df, name: df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+        both = count(x, "__l").join(count(y, "__r"), [b if isinstance(b, str) else "__bucket" for b in by])
+        return both.filter((F.least("__l", "__r") >= CELL_LEAST) & (F.col("__l").cast("double") * F.col("__r") > CELL_SIDE**2))
+
+    x, y = keys(l, "l"), keys(r, "r")
+    full = [row[0] for row in crowds(x, y, [bucket.alias("__bucket")]).select("__bucket").collect()]
+    if not full:
+        return None
+    if len(full) <= 1_000:
+        x, y = (df.filter(bucket.isin(full)) for df in (x, y))
+    found = crowds(x, y, names).toArrow()
+    if not found.num_rows:
+        return None
+    parts = [_parts(*k) for k in zip(found["__l"].to_pylist(), found["__r"].to_pylist(), strict=True)]
+    firsts = [0, *itertools.accumulate(a * b for a, b in parts)]
+    out = found.select(names)
+    for name, values in (("__a", [a for a, _ in parts]), ("__b", [b for _, b in parts]), ("__first", firsts[:-1])):
+        out = out.append_column(name, pa.array(values, pa.int64()))
+    return spark.createDataFrame(out), firsts[-1]
+
+
+def _parts(left: int, right: int) -> tuple[int, int]:
+    """How many parts the rows of a key are cut into on either side, so that a cell has about CELL_SIDE squared pairs."""
+    if min(left, right) > CELL_SIDE:
+        return -(-left // CELL_SIDE), -(-right // CELL_SIDE)
+    cut = -(-left * right // CELL_SIDE**2)
+    return (cut, 1) if left > right else (1, cut)
+
+
+def _in_cells(l: DataFrame, r: DataFrame, cond: Sequence[Column], kind: str, crowded: DataFrame, cells: int) -> DataFrame:
+    """A join in which no task makes all pairs of a crowded key.
+
+    Of such a key the left's rows are dealt to parts, and so are the right's; each part of one
+    side meets each of the other in a cell of its own, and cells are dealt to tasks.  These keys
+    are there on both sides, so all their rows match, whatever the kind of the join.  All other
+    rows, those without a match among them, are joined as ever.
+    """
+    mine = lambda side: [F.col(f"{side}{i}") == F.col(f"h{i}") for i in range(len(cond))]
+    held = F.broadcast(crowded)
+    rest = l.join(held, mine("l"), "left_anti").join(r.join(held, mine("r"), "left_anti"), cond, kind)
+
+    def dealt(df: DataFrame, side: str, own: str, other: str) -> DataFrame:
+        part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit((1 << 31) - 1))
+        kept = df.withColumn("__part", part).join(held, mine(side)).withColumn("__part", F.col("__part") % F.col(own))
+        kept = kept.withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+        i, j = ("__part", "__other") if side == "l" else ("__other", "__part")
+        cell = F.col("__first") + F.col(i) * F.col("__b") + F.col(j)
+        return kept.select(*df.columns, cell.alias(f"__cell_{side}")).repartition(min(cells, MOST_CELL_TASKS), f"__cell_{side}")
+
+    x, y = dealt(l, "l", "__a", "__b"), dealt(r, "r", "__b", "__a")
+    met = x.join(y.hint("merge"), F.col("__cell_l") == F.col("__cell_r"))
+    return rest.unionByName(met.select(*l.columns, *r.columns))
+
+
 def first_of_each(df: DataFrame, on: Sequence[str], order: Sequence[Key]) -> DataFrame:
     """The first row, by an order, of each value of the fields ``on``; without an order the least row.
 
