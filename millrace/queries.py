@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import millrace as m
 
@@ -44,6 +45,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
+    """Columns rounded to so many digits as SQL's ``round`` does it: a double is scaled, rounded half away from zero and scaled back.
+
+    Spark's rounds the shortest decimal of a double instead, so the two differ where scaling a
+    double that lies beside a tie gives the tie, or the other way round.
+    """
+
+    def one(name: str, n: int):
+        c, by = F.col(f"`{name}`"), 10.0**n
+        if df.schema[name].dataType != T.DoubleType():
+            return F.round(c, n)
+        scaled = F.abs(c) * by
+        whole = F.floor(scaled)
+        near = (whole + F.when(scaled - whole >= 0.5, 1).otherwise(0)) / by
+        # from 2^52 on a double has no fraction; infinities and NaN stay what they are
+        return F.when(scaled < float(1 << 52), F.when(c < 0, -near).otherwise(near)).when(scaled < float("inf"), c * by / by).otherwise(c)
+
+    return df.withColumns({name: one(name, n) for name, n in digits.items()})
+
+
 def query(sql: str | None = None, digits: int | None = None, of: tuple[str, ...] = ()):
     """Register a query by its function's name; the floating-point columns ``of`` are rounded to ``digits``."""
 
@@ -51,7 +72,7 @@ def query(sql: str | None = None, digits: int | None = None, of: tuple[str, ...]
         def run(spark: SparkSession, folder: str) -> DataFrame:
             made = build(Tables(spark, folder))
             df = made if isinstance(made, DataFrame) else m.frame(made, spark=spark)
-            return df.withColumns({c: F.round(c, digits) for c in of}) if of else df
+            return rounded(df, dict.fromkeys(of, digits)) if of else df
 
         QUERIES[build.__name__] = run
         if sql:
@@ -69,7 +90,7 @@ def query(sql: str | None = None, digits: int | None = None, of: tuple[str, ...]
 def pricing_summary(t):
     s = t.lineitem[t.lineitem.l_shipdate <= "1998-09-02"]
     out = m.by(s[["l_returnflag", "l_linestatus"]], sum_qty=s.l_quantity.sum(), avg_disc=s.l_discount.mean(), n=s.l_orderkey.count(), revenue=(s.l_extendedprice * (1 - s.l_discount)).sum())
-    return m.frame(out.sort(["l_returnflag", "l_linestatus"]), spark=t.spark).withColumns({"avg_disc": F.round("avg_disc", 6), "revenue": F.round("revenue", 2), "sum_qty": F.round("sum_qty", 2)})
+    return rounded(m.frame(out.sort(["l_returnflag", "l_linestatus"]), spark=t.spark), {"avg_disc": 6, "revenue": 2, "sum_qty": 2})
 
 
 @query("SELECT o_orderpriority, CAST(max(o_custkey) AS BIGINT) AS hi, CAST(min(o_custkey) AS BIGINT) AS lo, CAST(count(DISTINCT o_custkey) AS BIGINT) AS who FROM orders GROUP BY 1")
@@ -121,7 +142,7 @@ def summary_of_reductions(t):
     s = m.summary(
         count=q.count(), nelements=q.nelements(), nunique=q.nunique(), max=q.max(), min=q.min(), mean=q.mean(), sum=q.sum(), var=q.var(), std=q.std(), var_u=q.var(unbiased=True), std_u=q.std(unbiased=True)
     )
-    return m.frame(s, spark=t.spark).withColumns({c: F.round(c, 2 if c == "sum" else 6) for c in ("mean", "sum", "var", "std", "var_u", "std_u")})
+    return rounded(m.frame(s, spark=t.spark), {c: 2 if c == "sum" else 6 for c in ("mean", "sum", "var", "std", "var_u", "std_u")})
 
 
 @query("SELECT bool_or(l_quantity > 49) AS any_big, bool_and(l_quantity > 0) AS all_some FROM lineitem")
@@ -475,7 +496,7 @@ def math_functions(t):
     k, d = (x.l_orderkey * 10 + x.l_linenumber).label("k"), x.l_discount
     of = lambda n: unary(n, d + 1 if n in ("log", "log10", "acosh") else d)
     out = m.merge(k, **{n: of(n) for n in _MATH}, abs=abs(-d), ceil=unary("ceil", d * 100), floor=unary("floor", d * 100), trunc=unary("trunc", -d * 100))
-    return m.frame(out, spark=t.spark).withColumns({n: F.round(n, 9) for n in _MATH})
+    return rounded(m.frame(out, spark=t.spark), dict.fromkeys(_MATH, 9))
 
 
 @query(
@@ -491,7 +512,7 @@ def binary_math_functions(t):
         k, atan2=two("atan2", x, y), hypot=two("hypot", x, y), greatest=two("greatest", x, y), least=two("least", x, y), copysign=two("copysign", x, y - 25),
         fmod=two("fmod", -x, 7), ldexp=two("ldexp", x, 3), truncate=y.truncate(7),
     )
-    return m.frame(out, spark=t.spark).withColumns({"atan2": F.round("atan2", 9), "hypot": F.round("hypot", 6), "fmod": F.round("fmod", 6) + F.lit(0.0)})
+    return rounded(m.frame(out, spark=t.spark), {"atan2": 9, "hypot": 6, "fmod": 6}).withColumn("fmod", F.col("fmod") + F.lit(0.0))
 
 
 @query("SELECT k, CASE WHEN y = 0 THEN 'inf'::DOUBLE ELSE x / y END AS q FROM (SELECT l_orderkey * 10 + l_linenumber AS k, l_quantity AS x, l_discount AS y FROM lineitem)", 6, ("q",))
@@ -720,7 +741,7 @@ def array_within_rows(t):
     x = t.embeddings
     v = x.embedding
     out = m.merge(x.vec_id, mean=v.mean(axis=1), sum=v.sum(axis=1), top=v.max(axis=-1), norm=v.vnorm(axis=1), std=v.std(axis=1), n=v.count(axis=1))
-    return m.frame(out, spark=t.spark).withColumns({"sum": F.round("sum", 4), "norm": F.round("norm", 4)})
+    return rounded(m.frame(out, spark=t.spark), {"sum": 4, "norm": 4})
 
 
 @query(f"SELECT round(avg(v), 6) AS embedding_mean FROM {_LONG} GROUP BY i", 6, ("embedding_mean",))
